@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_staged, staged
+from .storage import staged, without_ids
 
 #: Fixed value: a word is a longest run of digits, letters a-z and characters beyond ASCII, in lower-cased text.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -352,4 +352,7 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = 10, slop: int
     return out
 
 
-__all__ = ["build_index", "contamination", "matches", "drop_staged"]
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of documents that hold no benchmark window, all columns kept; rows without a doc_id stay."""
+    found = staged(contamination(docs, benchmark, window).where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return without_ids(docs, found)

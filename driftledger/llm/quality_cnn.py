@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, sample_chars:
     return fit([t.encode("utf-8", "replace") for _, t in rows], [int(chosen[d] == 1) for d, _ in rows])
 
 
-def _score_rows(net: Network, at: int):
+def _score_rows(net: Network, at: int, into: str):
     tables = net.tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,22 +159,22 @@ def _score_rows(net: Network, at: int):
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 texts = [(t or "").encode("utf-8", "replace") for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(probability(texts, net, tables), pa.float64())], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(probability(texts, net, tables), pa.float64())], [*part.schema.names, into])
 
     return run
 
 
-def score(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
-    """The frame's columns in ``keep`` (doc_id alone if none are named) and ``score``, from the whole text only.
+def score(docs: DataFrame, net: Network, keep: list[str] | None = None, into: str = "score") -> DataFrame:
+    """The frame's columns in ``keep`` (doc_id alone if none are named) and a score, from the whole text only.
 
     Null and empty texts get the network's answer to no bytes; repeated rows are scored each for itself.
     """
     names = keep or ["doc_id"]
     read = docs.select(*names, *([] if "text" in names else ["text"]))
     at = read.columns.index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields), "score double"])
-    out = read.mapInArrow(_score_rows(net, at), schema)
-    return out.select(*names, "score")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields), f"`{into}` double"])
+    out = read.mapInArrow(_score_rows(net, at, into), schema)
+    return out.select(*(F.col(f"`{c}`") for c in names), into)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> DataFrame:

@@ -87,8 +87,14 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
+    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import staged
+from .storage import staged, without_ids
 
 BITS = 64
 
@@ -91,3 +91,16 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed:
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     component = linked.join(least, "label").select("fp", "component_id")
     return prints.join(component, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of one document of each component, that with the smallest doc_id, all columns kept.
+
+    Of rows that repeat a doc_id one stays. Rows without a doc_id all stay, as nothing names them.
+    """
+    found = near_duplicates(docs, distance, shingle, seed).where("doc_id is not null")
+    seen = staged(found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count(F.lit(1)).alias("n")), "kept-ids")
+    out = without_ids(docs, seen.where("copy"))
+    if seen.where("n > 1").limit(1).count():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out

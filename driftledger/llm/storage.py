@@ -7,6 +7,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,17 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """Rows of docs whose doc_id is not among ``ids.doc_id``; rows without a doc_id stay.
+
+    The ids are broadcast if their counted size is at most ``most_bytes``; beyond that, both sides are dealt by doc_id.
+    """
+    ids = ids.select(F.col("doc_id").alias("__id"))
+    if ids.count() * 16 <= most_bytes:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete what staged() wrote, once nothing reads it any more."""
     delete(df.sparkSession, df._staged_path)
