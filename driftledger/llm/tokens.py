@@ -10,19 +10,32 @@ import numpy as np
 
 #: Fixed value: the Unicode White_Space characters, which the byte-level splitter treats as space.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Boundaries that no token of the byte-level splitter crosses.
+#: Boundaries that no token of the byte-level splitter crosses, in any text.
 _CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+")
+#: The letters, numbers and white space of the first 256 characters, and the splitter's own words of these.
+_LETTER, _NUMBER, _BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_WORD = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+
+
+def _split(text: str) -> list[str]:
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _CHUNK.findall(text)
+    return _WORD.findall(text)
 
 
 class Encoder:
     """Ids of whole texts, as little-endian integers of the narrowest type that holds the vocabulary.
 
-    A byte-level splitter never joins characters across the boundaries of _CHUNK, so ids are cached by chunk. New
-    chunks of a batch go to the library in one text, with line feeds between them. Other tokenizers are called plainly.
-    The cache is emptied when it holds ``cache_entries`` chunks.
+    A byte-level splitter joins nothing across the boundaries of _split(), so ids are cached by chunk. New chunks of a
+    batch go to the library in one text, with line feeds between them. Other tokenizers are called plainly. The cache
+    has two halves of ``cache_entries`` chunks, about 200 bytes each: when the new half is full it becomes the old one,
+    and chunks that are met again return from there.
     """
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,6 +47,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cache_entries = cache_entries
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         split = spec.get("pre_tokenizer") or {}
         self.chunked = (
@@ -51,34 +65,54 @@ class Encoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
     def _learn(self, chunks: list[str]) -> None:
-        spaces = [c for c in chunks if c.isspace() or not c.strip()]
-        words = [c for c in chunks if not c.isspace() and c.strip()]
-        self.cache.update(zip(spaces, self._plain(spaces), strict=True))
+        words = []
+        for c in chunks:
+            if c.isspace():
+                (self.cache[c],) = self._plain([c])
+            else:
+                words.append(c)
+        width = self.dtype.itemsize
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(ids == self.line_feed).tolist()
+            ends = np.flatnonzero(ids == self.line_feed)
             if len(ends) != len(part) - 1:
                 self.cache.update(zip(part, self._plain(part), strict=True))
                 continue
-            raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
-            for chunk, end in zip(part, [*ends, len(ids)], strict=True):
-                self.cache[chunk] = raw[start * width : end * width]
-                start = end + 1
+            raw = ids.tobytes()
+            begin, end = [0, *((ends + 1) * width).tolist()], [*(ends * width).tolist(), len(raw)]
+            self.cache.update(zip(part, [raw[a:b] for a, b in zip(begin, end, strict=True)], strict=True))
+
+    def _fetch(self, chunks: set[str]) -> None:
+        """Bring chunks into the new half, from the old one or from the library."""
+        if len(self.cache) > self.cache_entries:
+            self.old, self.cache = self.cache, {}
+        known = chunks & self.old.keys()
+        self.cache.update((c, self.old[c]) for c in known)
+        self._learn(list(chunks - known))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null is an empty text."""
         texts = [t or "" for t in texts]
         if not self.chunked:
             return self._plain(texts)
-        out, get = [], self.cache.__getitem__
+        out = []
         for at in range(0, len(texts), 64):
-            split = [_CHUNK.findall(t) for t in texts[at : at + 64]]
-            if len(self.cache) > self.cache_entries:
-                self.cache.clear()
-            if new := set().union(*split).difference(self.cache):
-                self._learn(list(new))
-            out += [b"".join(map(get, chunks)) for chunks in split]
+            get, holes, missing = self.cache.get, [], set()
+            split = [_split(t) for t in texts[at : at + 64]]
+            found = [list(map(get, chunks)) for chunks in split]
+            for chunks, ids in zip(split, found, strict=True):
+                if None in ids:
+                    empty = [i for i, x in enumerate(ids) if x is None]
+                    holes.append((chunks, ids, empty))
+                    missing.update([chunks[i] for i in empty])
+            if missing:
+                self._fetch(missing)
+                get = self.cache.__getitem__
+                for chunks, ids, empty in holes:
+                    for i in empty:
+                        ids[i] = get(chunks[i])
+            out += map(b"".join, found)
         return out
 
 
