@@ -44,7 +44,7 @@ def deferred_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revenue.groupBy("entity_code").agg(F.count(F.lit(1)).alias("n_entries"), F.sum("revenue_usd_e4").alias("revenue_usd_e4"))
 
 
-_INTERMEDIATE = """select o_orderkey, o_custkey, upper(o_orderpriority) as priority, c_mktsegment, n_name, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as seq
+_INTERMEDIATE = """select o_orderkey, o_custkey, upper(o_orderpriority) as priority, c_mktsegment, n_name, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as integer) as seq
 from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey"""
 
 

@@ -79,13 +79,13 @@ def precedent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.join(judged, "rule_id").withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("finding_id", "precedent_id", "rank")
 
 
-@query("latest_disposition", store("select finding_id, disposition, actor from (select *, row_number() over (partition by finding_id order by at desc, id desc) as rn from decisions) where rn = 1"))
+@query("latest_disposition", store("select finding_id, disposition, actor from (select *, row_number() over (partition by finding_id order by decided_at desc, id desc) as rn from decisions) where rn = 1"))
 def latest_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("finding_id").orderBy(F.col("at").desc(), F.col("id").desc())
     return Store(spark, sf_dir).decisions.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("finding_id", "disposition", "actor")
 
 
-@query("export_calls_latest_judgement", store("select c.id, c.seat, c.accepted, j.disposition from calls c left join (select fingerprint, disposition from (select f.fingerprint, d.disposition, row_number() over (partition by f.fingerprint order by d.at desc, d.id desc) as rn from decisions d join findings f on d.finding_id = f.id) where rn = 1) j on c.fingerprint = j.fingerprint"))
+@query("export_calls_latest_judgement", store("select c.id, c.seat, c.accepted, j.disposition from calls c left join (select fingerprint, disposition from (select f.fingerprint, d.disposition, row_number() over (partition by f.fingerprint order by d.decided_at desc, d.id desc) as rn from decisions d join findings f on d.finding_id = f.id) where rn = 1) j on c.fingerprint = j.fingerprint"))
 def export_calls_latest_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
     judged = s.decisions.join(s.findings.select(F.col("id").alias("finding_id"), "fingerprint"), "finding_id")
@@ -160,7 +160,7 @@ def daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(counted, ["day", "severity"], "left").select("day", "severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("recent_decisions", store("select d.id, d.disposition, f.rule_id, r.project from decisions d join findings f on d.finding_id = f.id join runs r on f.run_id = r.id order by d.at desc, d.id desc limit 10"))
+@query("recent_decisions", store("select d.id, d.disposition, f.rule_id, r.project from decisions d join findings f on d.finding_id = f.id join runs r on f.run_id = r.id order by d.decided_at desc, d.id desc limit 10"))
 def recent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
     f, r = s.findings.select(F.col("id").alias("finding_id"), "rule_id", "run_id"), s.runs.select(F.col("id").alias("run_id"), "project")
@@ -207,7 +207,7 @@ def needs_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("since", "run_id").limit(6).select(F.col("run_id").alias("id"), "n", hours.alias("waiting_hours"))
 
 
-@query("activity_feed", store("select kind, id from (select * from (select 'review' as kind, id, created_at as at from runs order by created_at desc, id desc limit 12) union all select * from (select 'decision' as kind, id, at from decisions order by at desc, id desc limit 12)) order by at desc, kind, id desc limit 12"))
+@query("activity_feed", store("select kind, id from (select * from (select 'review' as kind, id, created_at as happened from runs order by created_at desc, id desc limit 12) union all select * from (select 'decision' as kind, id, decided_at from decisions order by decided_at desc, id desc limit 12)) order by happened desc, kind, id desc limit 12"))
 def activity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
     newest = lambda df, kind, at: df.orderBy(F.col(at).desc(), F.col("id").desc()).limit(12).select(F.lit(kind).alias("kind"), "id", F.col(at).alias("at"))

@@ -8,7 +8,7 @@ findings as (select id, run_id, model_name, rule_id, severity, confidence, note,
     event_type || '  moved ' || (event_id % 3) as note, list_extract(['dismissed','accepted','fixed','deferred'], event_id % 9 + 1) as disposition, ts as created_at, event_id % 23 as reach from events)),
 runs as (select run_id as id, 'p' || (run_id % 3) as project, case when run_id % 9 = 0 then 'failed' when run_id % 10 = 0 then 'queued' when run_id % 11 = 0 then 'running' else 'succeeded' end as status,
   run_id % 2 = 0 as executed, created_at, created_at + to_minutes(run_id) as heartbeat_at, run_id + 100 as pr_number, run_id * 3 % 17 + 1 as models_reviewed from (select run_id, max(created_at) as created_at from findings group by run_id)),
-decisions as (select id * 2 as id, id as finding_id, disposition, 'u' || (id % 5) as actor, created_at + interval 1 hour as at from findings where disposition is not null
+decisions as (select id * 2 as id, id as finding_id, disposition, 'u' || (id % 5) as actor, created_at + interval 1 hour as decided_at from findings where disposition is not null
   union all select id * 2 + 1, id, 'accepted', 'u9', created_at + interval 2 hour from findings where disposition is not null and id % 5 = 0),
 calls as (select id + 1 as id, run_id, fingerprint, list_extract(['specialist','supervisor'], id % 2 + 1) as seat, id % 4 <> 0 as accepted from findings where id % 3 = 0),
 grains as (select model_name, run_id, cast(count(*) as double) / count(distinct rule_id) as rows_per_key from findings group by model_name, run_id)

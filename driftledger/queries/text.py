@@ -71,7 +71,7 @@ def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCOPES = (("F1001", "m1*", "joins on rate are by period"), ("F2001", "*", "filters are reviewed"), ("*", "m?", "one digit"), ("F3001", "x*", "never"))
 
 
-@query("convention_scope_match", "select distinct 'm' || (user_id % 12) as model, c.rule_id, c.note from events, (values " + ", ".join(f"('{r}', '{g}', '{t}')" for r, g, t in _SCOPES) + ") c(rule_id, glob, note) where ('m' || (user_id % 12)) glob c.glob")
+@query("convention_scope_match", "select distinct 'm' || (user_id % 12) as model, c.rule_id, c.note from events, (values " + ", ".join(f"('{r}', '{g}', '{t}')" for r, g, t in _SCOPES) + ") c(rule_id, shape, note) where ('m' || (user_id % 12)) glob c.shape")
 def convention_scope_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conventions apply to models by glob; there are four, matched against distinct model names."""
     models = table(spark, sf_dir, "events").select(F.concat(F.lit("m"), (F.col("user_id") % 12).cast("string")).alias("model")).distinct()
@@ -80,7 +80,7 @@ def convention_scope_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.join(F.broadcast(rows.withColumn("pattern", pattern)), F.expr("model rlike pattern")).select("model", "rule_id", "note")
 
 
-_FRAGMENT = "Contact page service privacy"
+_FRAGMENT = "doctype html head meta charset utf title style"
 _TOK = "list_distinct(regexp_extract_all(lower({}), '([a-z0-9_]+)', 1))"
 _LOCATE = f"""with p as (select page_id as file, string_split(html, chr(10)) as lines from pages), s as (select file, lines, unnest(generate_series(1, len(lines))) as first_line from p),
 w as (select file, lines, first_line, unnest(generate_series(1, least(4, len(lines) - first_line + 1))) as n from s),
@@ -98,7 +98,10 @@ def locate_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUOTE = "list_extract(['the of', 'is the and of', 'and', 'ones the'], doc_id % 4 + 1)"
 
 
-@query("quote_grounding")
+_BODY = "' ' || array_to_string(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), ' ') || ' '"
+
+
+@query("quote_grounding", f"select doc_id, quote, case when doc_id % 4 = 1 then regexp_matches(body, ' is (.* )?the (.* )?and (.* )?of ') else contains(body, ' ' || quote || ' ') end as grounded from (select doc_id, {_QUOTE} as quote, {_BODY} as body from documents)")
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     quote = F.element_at(F.array(*map(F.lit, ("the of", "is the and of", "and", "ones the"))), (F.col("doc_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", quote.alias("quote"), T.grounded(quote, F.col("text")).alias("grounded"))
