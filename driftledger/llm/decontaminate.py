@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged, without_ids
+from .storage import bounded_batches, staged, without_ids
 
 #: Fixed value: a word is a longest run of digits, letters a-z and characters beyond ASCII, in lower-cased text.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -75,6 +75,7 @@ def _index_rows(block_bytes: int):
 
 def build_index(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """The stored index, one row for each block of whole documents; null text has no words, extra columns are not read."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index_rows(block_bytes), INDEX)
     return staged(rows, "positions")
 
@@ -167,6 +168,8 @@ class Block:
         local = np.fromiter((self.local.get(t, -1) for t in w.terms), np.int64, len(w.terms))
         here = np.where(w.words >= 0, local[w.words], 0)
         active = np.flatnonzero((here >= 0).all(axis=1))
+        if not len(active):
+            return
         active = active[np.argsort(w.pair[active], kind="stable")]
         pairs, pair_begin, pair_count = np.unique(w.pair[active], return_index=True, return_counts=True)
         rare, next_, delta = local[w.pairs[pairs, 0]], w.pairs[pairs, 1], w.pairs[pairs, 2]

@@ -1,0 +1,51 @@
+import hashlib
+import re
+
+from driftledger.llm.secrets import KINDS, digest, mask, scan
+
+ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def listed(spans):
+    return ",".join(f"{KINDS[k].name}:{a}:{b}" for a, k, b in spans)
+
+
+def test_base_spans(docs, rows):
+    found = sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in digest(scan(docs)).collect()), key=repr)
+    want = [(r[0], *(sum(k == n for _, k, _ in base(r[1] or "")) for n in range(3)), hashlib.sha256(listed(base(r[1] or "")).encode()).hexdigest()) for r in rows]
+    assert found == sorted(want, key=repr)
+
+
+def kinds(spark, text, scope=200):
+    (r,) = digest(scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), scope)).collect()
+    return [s.split(":")[0] for s in r.spans.split(",") if s]
+
+
+def test_weak_candidates_need_their_complement(spark):
+    opaque, client, url = "Ab3dEfGh1jKlMn0pQrStUv", "client_id: my-app", "https://api.example.org/v1"
+    assert kinds(spark, f"only {opaque} here") == []
+    assert kinds(spark, f"only {client} here") == []
+    assert kinds(spark, f"{client} with {opaque}") == ["identifier", "opaque"]
+    assert kinds(spark, f"{url} {client} with {opaque}") == ["endpoint", "identifier", "opaque"]
+    assert kinds(spark, f"{url} {client}") == []
+    assert kinds(spark, f"{client} {'x ' * 150} {opaque}") == []
+    assert kinds(spark, f"{client} {'x ' * 150} {opaque}", scope=400) == ["identifier", "opaque"]
+
+
+def test_failing_matches_consume(spark):
+    assert kinds(spark, "password:token : abcdefgh") == []
+    assert kinds(spark, "PassWord='abcdefgh' token=ab") == ["assign"]
+
+
+def test_empty_and_plan(docs, empty):
+    assert digest(scan(empty)).count() == 0
+    assert mask(docs).where("kind = 'access'").count() == 1
+    plan = digest(scan(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
