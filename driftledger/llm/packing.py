@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import bounded_batches, staged
 from .tokens import encoder
 
 #: A pattern is what a sequence holds: lengths, longest first, and how many sequences hold it.
@@ -187,6 +187,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     Null text: empty, which is the end id alone. Rows with one doc_id are packed each for itself; no documents give no
     rows; extra columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_piece_rows(tokenizer_path, end_id, capacity, with_ids), schema)
     pieces = staged(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
+from .storage import bounded_batches
 
 #: The base kinds, in the order in which spans of one start are listed, then the kinds that trees judge.
 BASE = ("email", "ip", "card", "phone")
@@ -228,6 +229,7 @@ def scan(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
     Null texts are empty, and empty texts have no spans. Copies and repeated rows are read each for itself; no documents
     give no rows; extra columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan_rows(judge or trained()), schema)
 
@@ -257,4 +259,5 @@ def _redact_rows(judge: Judge, at: int):
 
 def redact(docs: DataFrame, judge: Judge | None = None) -> DataFrame:
     """The same rows and columns, personal data in ``text`` replaced by marks; null texts stay null."""
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_redact_rows(judge or trained(), docs.columns.index("text")), docs.schema)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 #: The number of a byte beyond the end of a text; its embedding stays zero.
 PAD = 256
 
@@ -169,6 +171,7 @@ def score(docs: DataFrame, net: Network, keep: list[str] | None = None, into: st
 
     Null and empty texts get the network's answer to no bytes; repeated rows are scored each for itself.
     """
+    bounded_batches(docs.sparkSession)
     names = keep or ["doc_id"]
     read = docs.select(*names, *([] if "text" in names else ["text"]))
     at = read.columns.index("text")

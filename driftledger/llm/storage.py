@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -19,6 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
+    """Lower the bytes that go to a Python worker at once, where the session has not lowered them itself.
+
+    Only the size of batches depends on it, no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if now and not 0 < int(now[1]) <= most:
+        spark.conf.set(key, str(most))
+    return spark
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used before."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 
 class Automaton:
     """``initial`` pieces start a word, ``continuing`` ones go on with it; without the latter one set does both."""
@@ -140,5 +142,6 @@ def token_counts(docs: DataFrame, path: str | None = None, pieces: tuple[str, ..
     From a byte-level vocabulary file, each word with a space before it, or from a word-piece list. Null and empty texts
     have none; repeated rows are counted each for itself; extra columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     make, before = (functools.partial(byte_level, path), b" ") if path else (functools.partial(word_pieces, pieces or ()), b"")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count_rows(make, before), "doc_id long, n_words long, n_pieces long")

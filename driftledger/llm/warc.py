@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import open_filesystem, write_bytes
+from .storage import bounded_batches, open_filesystem, write_bytes
 
 #: Fixed values of the two formats.
 MEMBER = b"\x1f\x8b\x08"
@@ -213,6 +213,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_byte
     revisit it. A null html is empty; a null page_id is never the smallest, and its record has no number. Rows that
     repeat the smallest page_id are responses each. Extra columns are not read.
     """
+    bounded_batches(pages.sparkSession)
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     page = page.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     first = page.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"))
