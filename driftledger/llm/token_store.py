@@ -3,7 +3,7 @@
 Layout of a store, a folder:
 
 * ``dictionary.bin``: the id of every rank, little-endian unsigned 32-bit. Frequent ids have low ranks.
-* ``shard-SSSSS-FFFF.tkv``: documents in ascending doc_id order, across files in name order. A file is the magic, its
+* ``shard-SSSSSS-FFFF.tkv``: documents in ascending doc_id order, across files in name order. A file is the magic, its
   shard, the ids before it in the shard, then blocks. A block is a header, doc_ids, null marks, lengths, control bytes
   (two bits a rank: its bytes less one, four ranks to a byte) and data bytes (each rank's low bytes).
 * ``manifest.json``: ids in each shard, from which starts follow.
@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import drop_staged, read_bytes, staged, write_bytes
+from .storage import bounded_batches, drop_staged, read_bytes, staged, write_bytes
 from .tokens import encoder
 
 MAGIC = b"TKVBYTE1"
@@ -64,41 +63,56 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encode_rows(path: str, end_id: int):
+def _encode_rows(path: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        end = np.array([end_id], e.dtype).tobytes()
+        end, total = np.array([end_id], e.dtype).tobytes(), np.zeros(e.size, np.int64)
+        names = ["doc_id", "ids", "shard", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [x + end for x in e.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                total += np.bincount(np.frombuffer(b"".join(ids), e.dtype), minlength=e.size)
+                known = np.array([np.iinfo(np.int64).min if x is None else x for x in part.column(0).to_pylist()], np.int64)
+                shard = pa.array(np.searchsorted(bounds, known), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), shard, pa.nulls(len(ids), pa.binary())], names)
+        if total.any():
+            no_id, counts = pa.nulls(1, pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([no_id, pa.nulls(1, pa.binary()), no_id, counts], names)
 
     return run
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, ids): each whole text's ids and the end id, little-endian, unsigned 16-bit where the vocabulary fits."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode_rows(tokenizer_path, end_id), "doc_id long, ids binary")
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shards: int = 1) -> DataFrame:
+    """(doc_id, ids, shard, counts): each whole text's ids and the end id, little-endian, unsigned 16-bit where the vocabulary fits.
+
+    Shards are ranges of doc_id between approximate quantiles of all of them, null doc_ids in the first. Each partition
+    ends with a row of its own that holds how often every id occurred in it, in ``counts``.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    steps = [k / shards for k in range(1, shards)]
+    found = rows.agg(F.percentile_approx("doc_id", steps, 10_000).alias("q")).first().q if steps else None
+    bounds = np.unique(np.array(found or [], np.int64))
+    return rows.mapInArrow(_encode_rows(tokenizer_path, end_id, bounds), "doc_id long, ids binary, shard long, counts binary")
 
 
-def _count_rows(dtype: str, size: int):
+def _count_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=size) if len(x.as_buffer()) > size else 0
-            short = b"".join(x for x in batch.column(0).to_pylist() if len(x) <= size)
-            total += np.bincount(np.frombuffer(short, dtype), minlength=size)
+                total += np.frombuffer(x.as_buffer(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["id", "n"])
 
     return run
 
 
-def rank_ids(tokens: DataFrame, dtype: str, size: int) -> np.ndarray:
+def rank_ids(tokens: DataFrame, size: int) -> np.ndarray:
     """Ids by falling frequency, then by id: at most one row for each id of the vocabulary reaches the driver."""
-    counts = tokens.select("ids").mapInArrow(_count_rows(dtype, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = tokens.where("counts is not null").select("counts")
+    counts = found.mapInArrow(_count_rows(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(size, np.int64)
     total[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     return np.lexsort((np.arange(size), -total)).astype("<u4")
@@ -118,64 +132,82 @@ def _block(doc_ids: list[int | None], lengths: list[int], ranks: np.ndarray) ->
     return struct.pack(_BLOCK, len(doc_ids), len(ranks), len(control), len(data), zlib.crc32(body)) + body
 
 
-def _write_rows(folder: str, dtype: str, rank_of: np.ndarray, block_ids: int, file_bytes: int):
+class _Writer:
+    """Writes one shard after another, each as files of about ``file_bytes``."""
+
+    def __init__(self, folder: str, dtype: str, rank_of: np.ndarray, block_ids: int, file_bytes: int):
+        self.folder, self.dtype, self.rank_of, self.block_ids, self.file_bytes = folder, dtype, rank_of, block_ids, file_bytes
+        self.shard: int | None = None
+        self.blocks: list[bytes] = []
+        self.doc_ids: list[int | None] = []
+        self.lengths: list[int] = []
+        self.parts: list[bytes] = []
+
+    def start(self, shard: int) -> None:
+        self.shard, self.files, self.docs, self.total, self.before, self.held, self.size = shard, 0, 0, 0, 0, 0, 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        n = len(ids) // np.dtype(self.dtype).itemsize
+        self.doc_ids.append(doc_id)
+        self.lengths.append(n)
+        self.parts.append(ids)
+        self.held, self.total, self.docs = self.held + n, self.total + n, self.docs + 1
+        if self.held >= self.block_ids:
+            self.close_block()
+            if self.size >= self.file_bytes:
+                self.close_file()
+
+    def close_block(self) -> None:
+        if self.doc_ids:
+            self.blocks.append(_block(self.doc_ids, self.lengths, self.rank_of[np.frombuffer(b"".join(self.parts), self.dtype)]))
+            self.size, self.held = self.size + len(self.blocks[-1]), 0
+            self.doc_ids, self.lengths, self.parts = [], [], []
+
+    def close_file(self) -> None:
+        if self.blocks:
+            write_bytes(self.folder, f"shard-{self.shard:06d}-{self.files:04d}.tkv", [struct.pack(_FILE, MAGIC, self.shard, self.before), *self.blocks])
+            self.files, self.before, self.size, self.blocks = self.files + 1, self.total, 0, []
+
+    def end(self) -> pa.RecordBatch:
+        self.close_block()
+        self.close_file()
+        return pa.RecordBatch.from_pydict({"shard": [self.shard], "files": [self.files], "docs": [self.docs], "ids": [self.total]})
+
+
+def _write_rows(*settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
-        before = total = files = n_docs = 0
-        blocks: list[bytes] = []
-        doc_ids: list[int | None] = []
-        lengths: list[int] = []
-        parts: list[bytes] = []
-        held = size = 0
-
-        def close_block():
-            nonlocal held, size
-            if doc_ids:
-                blocks.append(_block(doc_ids, lengths, rank_of[np.frombuffer(b"".join(parts), dtype)]))
-                size += len(blocks[-1])
-                held = 0
-                doc_ids.clear(), lengths.clear(), parts.clear()
-
-        def close_file():
-            nonlocal files, before, size
-            if blocks:
-                write_bytes(folder, f"shard-{shard:05d}-{files:04d}.tkv", [struct.pack(_FILE, MAGIC, shard, before), *blocks])
-                files, before, size = files + 1, total, 0
-                blocks.clear()
-
-        width = np.dtype(dtype).itemsize
+        writer = _Writer(*settings)
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len(ids) // width
-                doc_ids.append(doc_id), lengths.append(n), parts.append(ids)
-                held, total, n_docs = held + n, total + n, n_docs + 1
-                if held >= block_ids:
-                    close_block()
-                    if size >= file_bytes:
-                        close_file()
-        close_block()
-        close_file()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "files": [files], "docs": [n_docs], "ids": [total]})
+            for shard, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != writer.shard:
+                    if writer.shard is not None:
+                        yield writer.end()
+                    writer.start(shard)
+                writer.add(doc_id, ids)
+        if writer.shard is not None:
+            yield writer.end()
 
     return run
 
 
-def write_token_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, block_ids: int = 1 << 18, file_bytes: int = 16 << 20) -> dict:
+def write_token_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, block_ids: int = 1 << 16, file_bytes: int = 8 << 20) -> dict:
     """Encode the documents and write the store; returns its manifest.
 
-    Texts are encoded once: the ids are staged, counted, then dealt out by ranges of doc_id and written in order. The
+    Texts are encoded and ids counted once; the ids are staged, then dealt out by ranges of doc_id and written in order. The
     driver sees one row per id of the vocabulary and one per shard. Null text: empty. Rows with one doc_id stand side by
     side, in order of their ids; null doc_ids come first. No documents: no shard files. Extra columns are not read.
     """
     spark = docs.sparkSession
     e = encoder(tokenizer_path)
     dtype = e.dtype.str
-    tokens = staged(encode_documents(docs, tokenizer_path, end_id), "token-ids")
-    ranked = rank_ids(tokens, dtype, e.size)
+    # A few shards for each partition of the shuffle, so that hashing them deals them out evenly.
+    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = staged(encode_documents(docs, tokenizer_path, end_id, shards), "token-ids")
+    ranked = rank_ids(tokens, e.size)
     rank_of = np.empty(e.size, "<u4")
     rank_of[ranked] = np.arange(e.size, dtype="<u4")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(shards, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    kept = tokens.where("counts is null").select("shard", "doc_id", "ids")
+    ordered = kept.repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
     rows = ordered.mapInArrow(_write_rows(folder, dtype, rank_of, block_ids, file_bytes), "shard long, files long, docs long, ids long").collect()
     drop_staged(tokens)
     manifest = {"shards": [[r.shard, r.files, r.docs, r.ids] for r in sorted(rows)], "end_id": end_id}
@@ -189,7 +221,7 @@ def read_blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], np
     magic, shard, before = struct.unpack_from(_FILE, content)
     if magic != MAGIC:
         raise ValueError("not a token file")
-    at = struct.calcsize(_FILE)
+    at, content = struct.calcsize(_FILE), memoryview(content)
     while at < len(content):
         n_docs, n, n_control, n_data, crc = struct.unpack_from(_BLOCK, content, at)
         at += struct.calcsize(_BLOCK)
@@ -197,7 +229,7 @@ def read_blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], np
         if zlib.crc32(content[at:end]) != crc:
             raise ValueError("damaged block")
         ids = np.frombuffer(content, "<i8", n_docs, at).tolist()
-        null = content[at + 8 * n_docs : at + 9 * n_docs]
+        null = bytes(content[at + 8 * n_docs : at + 9 * n_docs])
         lengths = np.frombuffer(content, "<u4", n_docs, at + 9 * n_docs)
         c = at + 13 * n_docs
         ranks = unpack(content[c : c + n_control], content[c + n_control : end], n)
@@ -209,7 +241,7 @@ def _read_rows(ranked: np.ndarray, shard_start: dict[int, int], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                for shard, before, doc_ids, lengths, ranks in read_blocks(content.as_py()):
+                for shard, before, doc_ids, lengths, ranks in read_blocks(content.as_buffer()):
                     ends = np.cumsum(lengths, dtype=np.int64)
                     raw = memoryview(ranked[ranks].tobytes())
                     spans = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
@@ -231,7 +263,7 @@ def _read_rows(ranked: np.ndarray, shard_start: dict[int, int], with_ids: bool):
 def read_token_store(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids as little-endian unsigned 32-bit]) of every document, from the files.
 
-    Starts need the ids of earlier shards only: one number a shard, as many as the partitions that wrote them.
+    Starts need the ids of earlier shards only: one number a shard, four shards to a partition of the shuffle.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     shards = json.loads(read_bytes(folder, "manifest.json"))["shards"]
