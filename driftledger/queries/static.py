@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import catalyst
+from ..plans import cases, catalyst, rules
 from ..plans.ledger import Ledger
 from . import query
 
@@ -24,3 +24,17 @@ def plan_column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = Ledger(spark, sf_dir)
     rows = [(m, c, s) for m in ("fct_revenue", "fct_regulatory_summary") for c, found in catalyst.lineage(getattr(ledger, m)).items() for s in sorted(found)]
     return spark.createDataFrame(rows, "model string, column string, source string")
+
+
+@query("plan_rules", "select * from (values " + ", ".join(f"('{r}', true, false)" for r in cases.SQL) + ") t(rule_id, on_defect, unchanged)")
+def plan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each rule on plans fires on its defect, and on a revision without a change; only plans are read."""
+    cases.views(spark)
+    out = []
+    for rule_id, (before, after) in cases.SQL.items():
+        b, a = (rules.Revision(spark.sql(t), t) for t in (before, after))
+        x = rules.Context("model", cases.GRAINS, snapshots=cases.SNAPSHOTS)
+        fired = lambda p, q: any(f.rule_id == rule_id for f in rules.review(p, q, x)[0])
+        out.append((rule_id, fired(b, a), fired(a, a)))
+    return spark.createDataFrame(out, "rule_id string, on_defect boolean, unchanged boolean")
+
