@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches
+from .tokens import byte_alphabet
 
 
 class Automaton:
@@ -95,13 +96,6 @@ class Automaton:
         return found
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 @functools.lru_cache(maxsize=2)
 def byte_level(path: str) -> Automaton:
     """The automaton of a byte-level vocabulary file, in which pieces that start a word hold the space before it."""

@@ -39,7 +39,15 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, "<u4")
     code = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    ends = np.cumsum(code, dtype=np.int64) + np.arange(1, len(code) + 1)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    starts = ends - code - 1
+    data[starts] = values.astype(np.uint8)
+    for k in range(1, 4):
+        longer = np.flatnonzero(code >= k)
+        if not len(longer):
+            break
+        data[starts[longer] + k] = (values[longer] >> (8 * k)).astype(np.uint8)
     padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
     padded[: len(code)] = code
     quads = padded.reshape(-1, 4)
@@ -63,38 +71,47 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encode_rows(path: str, end_id: int, bounds: np.ndarray):
+def deal_keys(spark: SparkSession) -> list[int]:
+    """For each partition of a shuffle a number that hashing puts there, so that one shard goes to each."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = spark.range(40 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("at")).groupBy("at").agg(F.min("id").alias("id"))
+    return [r.id for r in found.orderBy("at").collect()]
+
+
+def _encode_rows(path: str, end_id: int, bounds: np.ndarray, keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         end, total = np.array([end_id], e.dtype).tobytes(), np.zeros(e.size, np.int64)
-        names = ["doc_id", "ids", "shard", "counts"]
+        names = ["doc_id", "ids", "shard", "deal", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [x + end for x in e.encode(part.column(1).to_pylist())]
                 total += np.bincount(np.frombuffer(b"".join(ids), e.dtype), minlength=e.size)
                 known = np.array([np.iinfo(np.int64).min if x is None else x for x in part.column(0).to_pylist()], np.int64)
-                shard = pa.array(np.searchsorted(bounds, known), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), shard, pa.nulls(len(ids), pa.binary())], names)
+                shard = np.searchsorted(bounds, known)
+                columns = [part.column(0), pa.array(ids, pa.binary()), pa.array(shard, pa.int64()), pa.array(keys[shard], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.binary())], names)
         if total.any():
             no_id, counts = pa.nulls(1, pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([no_id, pa.nulls(1, pa.binary()), no_id, counts], names)
+            yield pa.RecordBatch.from_arrays([no_id, pa.nulls(1, pa.binary()), no_id, no_id, counts], names)
 
     return run
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shards: int = 1) -> DataFrame:
-    """(doc_id, ids, shard, counts): each whole text's ids and the end id, little-endian, unsigned 16-bit where the vocabulary fits.
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+    """(doc_id, ids, shard, deal, counts): each whole text's ids and the end id, little-endian, unsigned 16-bit where the vocabulary fits.
 
-    Shards are ranges of doc_id between approximate quantiles of all of them, null doc_ids in the first. Each partition
-    ends with a row of its own that holds how often every id occurred in it, in ``counts``.
+    Shards are ranges of doc_id between approximate quantiles of all of them, null doc_ids in the first; ``deal`` is what
+    hashing deals a shard out by. Each partition ends with a row of its own that holds how often every id occurred in it, in ``counts``.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    steps = [k / shards for k in range(1, shards)]
+    keys = deal_keys(docs.sparkSession)
+    steps = [k / len(keys) for k in range(1, len(keys))]
     found = rows.agg(F.percentile_approx("doc_id", steps, 10_000).alias("q")).first().q if steps else None
     bounds = np.unique(np.array(found or [], np.int64))
-    return rows.mapInArrow(_encode_rows(tokenizer_path, end_id, bounds), "doc_id long, ids binary, shard long, counts binary")
+    return rows.mapInArrow(_encode_rows(tokenizer_path, end_id, bounds, np.array(keys)), "doc_id long, ids binary, shard long, deal long, counts binary")
 
 
 def _count_rows(size: int):
@@ -200,14 +217,12 @@ def write_token_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     spark = docs.sparkSession
     e = encoder(tokenizer_path)
     dtype = e.dtype.str
-    # A few shards for each partition of the shuffle, so that hashing them deals them out evenly.
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = staged(encode_documents(docs, tokenizer_path, end_id, shards), "token-ids")
+    tokens = staged(encode_documents(docs, tokenizer_path, end_id), "token-ids")
     ranked = rank_ids(tokens, e.size)
     rank_of = np.empty(e.size, "<u4")
     rank_of[ranked] = np.arange(e.size, dtype="<u4")
-    kept = tokens.where("counts is null").select("shard", "doc_id", "ids")
-    ordered = kept.repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("ids"))
+    kept = tokens.where("counts is null").select("shard", "doc_id", "ids", "deal")
+    ordered = kept.repartition("deal").sortWithinPartitions("shard", "doc_id", F.xxhash64("ids")).drop("deal")
     rows = ordered.mapInArrow(_write_rows(folder, dtype, rank_of, block_ids, file_bytes), "shard long, files long, docs long, ids long").collect()
     drop_staged(tokens)
     manifest = {"shards": [[r.shard, r.files, r.docs, r.ids] for r in sorted(rows)], "end_id": end_id}
@@ -263,7 +278,7 @@ def _read_rows(ranked: np.ndarray, shard_start: dict[int, int], with_ids: bool):
 def read_token_store(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids as little-endian unsigned 32-bit]) of every document, from the files.
 
-    Starts need the ids of earlier shards only: one number a shard, four shards to a partition of the shuffle.
+    Starts need the ids of earlier shards only: one number a shard, as many as the shuffle has partitions.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     shards = json.loads(read_bytes(folder, "manifest.json"))["shards"]

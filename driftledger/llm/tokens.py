@@ -17,6 +17,13 @@ _LETTER, _NUMBER, _BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9
 _WORD = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 def _split(text: str) -> list[str]:
     if not text.isascii():
         try:
@@ -26,20 +33,30 @@ def _split(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+def _holes(ids: list[bytes | None]) -> list[int]:
+    """Where the list has None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = ids.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class Encoder:
     """Ids of whole texts, as little-endian integers of the narrowest type that holds the vocabulary.
 
     A byte-level splitter joins nothing across the boundaries of _split(), so ids are cached by chunk. New chunks of a
-    batch go to the library in one text, with line feeds between them. Other tokenizers are called plainly. The cache
-    has two halves of ``cache_entries`` chunks, about 200 bytes each: when the new half is full it becomes the old one,
-    and chunks that are met again return from there.
+    batch go to the library in one text, with line feeds between them. Other tokenizers are called plainly. The cache is
+    emptied when it holds ``cache_entries`` chunks, about 200 bytes each.
     """
 
-    def __init__(self, path: str, cache_entries: int = 600_000):
+    def __init__(self, path: str, cache_entries: int = 1_200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -47,7 +64,6 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cache_entries = cache_entries
         self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         split = spec.get("pre_tokenizer") or {}
         self.chunked = (
@@ -56,9 +72,18 @@ class Encoder:
             and split.get("use_regex", True)
             and not split.get("add_prefix_space", True)
             and all(t.get("special") for t in spec.get("added_tokens", []))
+            and spec["model"].get("type", "BPE") == "BPE"
+            and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         )
         if self.chunked:
             (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            # The same model for words that are split already: their bytes as the vocabulary's characters, cut at line feeds.
+            by_byte = {b: c for c, b in byte_alphabet().items()}
+            self.alphabet = "".join(by_byte[b] for b in range(256))
+            model = spec["model"]
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self.words = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+            self.words.pre_tokenizer = pre_tokenizers.Split(by_byte[10], "isolated")
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -72,9 +97,10 @@ class Encoder:
             else:
                 words.append(c)
         width = self.dtype.itemsize
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            text = "\n".join(part).encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(ids == self.line_feed)
             if len(ends) != len(part) - 1:
                 self.cache.update(zip(part, self._plain(part), strict=True))
@@ -83,14 +109,6 @@ class Encoder:
             begin, end = [0, *((ends + 1) * width).tolist()], [*(ends * width).tolist(), len(raw)]
             self.cache.update(zip(part, [raw[a:b] for a, b in zip(begin, end, strict=True)], strict=True))
 
-    def _fetch(self, chunks: set[str]) -> None:
-        """Bring chunks into the new half, from the old one or from the library."""
-        if len(self.cache) > self.cache_entries:
-            self.old, self.cache = self.cache, {}
-        known = chunks & self.old.keys()
-        self.cache.update((c, self.old[c]) for c in known)
-        self._learn(list(chunks - known))
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null is an empty text."""
         texts = [t or "" for t in texts]
@@ -98,17 +116,17 @@ class Encoder:
             return self._plain(texts)
         out = []
         for at in range(0, len(texts), 64):
+            if len(self.cache) > self.cache_entries:
+                self.cache.clear()
             get, holes, missing = self.cache.get, [], set()
             split = [_split(t) for t in texts[at : at + 64]]
             found = [list(map(get, chunks)) for chunks in split]
             for chunks, ids in zip(split, found, strict=True):
-                if None in ids:
-                    empty = [i for i, x in enumerate(ids) if x is None]
+                if empty := _holes(ids):
                     holes.append((chunks, ids, empty))
                     missing.update([chunks[i] for i in empty])
             if missing:
-                self._fetch(missing)
-                get = self.cache.__getitem__
+                self._learn(list(missing))
                 for chunks, ids, empty in holes:
                     for i in empty:
                         ids[i] = get(chunks[i])
