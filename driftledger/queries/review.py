@@ -14,11 +14,10 @@ from .graph import E as EDGES_SQL
 from .graph import edges
 from .review_sql import store
 
-ONE = F.lit(1)
 
 
 def n(name: str = "n"):
-    return F.count(ONE).alias(name)
+    return F.count(F.lit(1)).alias(name)
 
 
 def blocking(open_only: bool = True):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,10 +109,20 @@ def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quote.alias("quote"), T.grounded(quote, F.col("text")).alias("grounded"))
 
 
-@query("seed_key_search", "select * from (values ('supplier', 's_suppkey', 1), ('supplier', 's_name', 1), ('nation', 'n_nationkey', 1), ('nation', 'n_name', 1), ('region', 'r_regionkey', 1), ('region', 'r_name', 1), ('conversations', 'conv_id+turn', 2)) t(table_name, key, width)")
+#: Tables and their columns that are not measured, in table order.
+SEEDS = {"supplier": ("s_suppkey", "s_name", "s_nationkey"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name"), "conversations": ("conv_id", "turn", "role")}
+
+
+def _seed_sql(table_: str, columns: tuple[str, ...]) -> str:
+    unique = lambda k: f"select '{table_}' as table_name, '{'+'.join(k)}' as key, {len(k)} as width from {table_} having count(distinct ({', '.join(k)})) = count(*) and count(case when {' or '.join(f'{c} is null' for c in k)} then 1 end) = 0"
+    singles, pairs = (" union all ".join(unique(k) for k in combinations(columns, n)) for n in (1, 2))
+    return f"select * from ({singles}) union all select * from ({pairs}) where not exists (select 1 from ({singles}))"
+
+
+@query("seed_key_search", " union all ".join(f"select * from ({_seed_sql(t, k)})" for t, k in SEEDS.items()))
 def seed_key_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for name in ("supplier", "nation", "region", "conversations"):
+    for name in SEEDS:
         df = table(spark, sf_dir, name)
         one = T.seed_keys(df.select("conv_id", "turn", "role") if name == "conversations" else df).select(F.lit(name).alias("table_name"), "key", "width")
         out = one if out is None else out.unionByName(one)
