@@ -110,9 +110,9 @@ class Ledger:
         rate = self.stg_fx_rates
         entry = self.stg_entries.join(account, "account_id")
         if "fx_any_period" in self.edits:
-            joined = entry.join(rate.drop("rate_period"), "currency_code")
+            joined = entry.join(rate.drop("rate_period").alias("stg_fx_rates"), "currency_code")
         else:
-            joined = entry.join(rate.withColumnRenamed("rate_period", "period_month"), ["currency_code", "period_month"])
+            joined = entry.join(rate.withColumnRenamed("rate_period", "period_month").alias("stg_fx_rates"), ["currency_code", "period_month"])
         return joined.withColumn("amount_usd_e4", F.col("amount_minor") * F.col("rate_pct"))
 
     @cached_property
@@ -123,7 +123,7 @@ class Ledger:
         if "with_reversals" in self.edits:
             booked = F.lit(True)
         condition = external | booked if "either_filter" in self.edits else external & booked
-        joined = self.entries_converted.where(condition).join(self.stg_contracts, "contract_id", "inner" if "contract_inner" in self.edits else "left")
+        joined = self.entries_converted.where(condition).join(self.stg_contracts.alias("stg_contracts"), "contract_id", "inner" if "contract_inner" in self.edits else "left")
         recognition = F.col("recognition_method") if "no_default" in self.edits else F.coalesce("recognition_method", F.lit("point_in_time"))
         return joined.withColumn("recognition", recognition)
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans import cases, catalyst, rules
 from ..plans.ledger import Ledger
 from . import query
+from .ledger_sql import ledger
 
 _MODELS = ("stg_fx_rates", "entity_reference", "account_activity", "dim_entities", "fct_revenue", "fct_account_period_summary", "fct_regulatory_summary", "fct_revenue_reported")
 
@@ -64,3 +66,38 @@ def plan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.append((rule_id, fired(b, a), fired(a, a)))
     return spark.createDataFrame(out, "rule_id string, on_defect boolean, unchanged boolean")
 
+
+
+#: Edits of the ledger, the model whose plan each touches, and the rules that should speak of it.
+CORPUS = (
+    ("none", "revenue_recognized", ""), ("fx_any_period", "entries_converted", "F1001"), ("contract_inner", "revenue_recognized", "F1002"), ("with_intercompany", "revenue_recognized", "F2001"),
+    ("with_reversals", "revenue_recognized", "F2001"), ("either_filter", "revenue_recognized", "F2001"), ("no_default", "revenue_recognized", ""), ("period_from_posting", "stg_entries", ""),
+)
+_FIGURES = "count(*) as n, cast(sum(revenue_usd_e4) as bigint) as total, count(recognition) as known, count_if(recognition = 'ratable') as ratable, cast(sum(date_diff('day', date '1990-01-01', period_month)) as bigint) as days"
+
+
+def _corpus_sql() -> str:
+    one = lambda e: f"(with {ledger(*([e] if e != 'none' else []))} select {_FIGURES} from fct_revenue)"
+    return " union all ".join(f"select '{e}' as edit, '{m}' as model, (h.n, h.total, h.known, h.ratable, h.days) is distinct from (b.n, b.total, b.known, b.ratable, b.days) as moved, '{r}' as rules from {one('none')} b, {one(e)} h" for e, m, r in CORPUS)
+
+
+@query("corpus_measured", _corpus_sql())
+def corpus_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every edit whether it moves figures of the revenue mart, which is the truth, and which rules speak of it."""
+
+    def figures(ledger_: Ledger) -> DataFrame:
+        return ledger_.fct_revenue.agg(
+            F.count(F.lit(1)).alias("n"), F.sum("revenue_usd_e4").alias("total"), F.count("recognition").alias("known"), F.count_if(F.col("recognition") == "ratable").alias("ratable"),
+            F.sum(F.datediff("period_month", F.lit("1990-01-01"))).cast("long").alias("days"),
+        ).select(F.struct("*").alias("figures"))
+
+    base, out = Ledger(spark, sf_dir), None
+    before = figures(base).withColumnRenamed("figures", "before")
+    context = {"grains": {"stg_fx_rates": ("currency_code", "rate_period"), "stg_contracts": ("contract_id",)}}
+    for edit, model, _ in CORPUS:
+        head = Ledger(spark, sf_dir, *([edit] if edit != "none" else []))
+        found, _ = rules.review(rules.Revision(getattr(base, model)), rules.Revision(getattr(head, model)), rules.Context(model, **context))
+        one = figures(head).crossJoin(before)  # one row a side
+        one = one.select(F.lit(edit).alias("edit"), F.lit(model).alias("model"), (~F.col("figures").eqNullSafe(F.col("before"))).alias("moved"), F.lit(",".join(sorted({f.rule_id for f in found}))).alias("rules"))
+        out = one if out is None else out.unionByName(one)
+    return out

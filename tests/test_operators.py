@@ -148,3 +148,34 @@ def test_streams(spark, tmp_path):
     run_to_end(stream, str(tmp_path / "cp"), history_sink(spark, str(root), config, lambda e: F.lit("2026-01-09").cast("date")), "append")
     h = spark.read.parquet(f"{root}/v1")
     assert sorted((r.id, r.name, r.valid_to is None) for r in h.collect()) == [(1, "a", False), (1, "b", True), (2, "c", True)]
+
+
+def test_reports(spark):
+    import json
+
+    from driftledger.operators import report
+
+    rows = [(1, 40, "F1001", "high", "proven", "m1", "a | b", "dismissed"), (2, 40, "F2001", "low", "likely", "m2", "c", None), (3, 7, "F3001", "medium", "likely", "m3", "d", None)]
+    f = spark.createDataFrame(rows, "id int, run_id int, rule_id string, severity string, confidence string, model_name string, note string, disposition string")
+    found = json.loads(report.json_report(f, 40, ("macros",)).first().report)
+    assert [x["rule_id"] for x in found["findings"]] == ["F1001", "F2001"] and found["blind_spots"] == ["macros"]
+    assert json.loads(report.json_report(f, 99, ()).first().report) == {"run": 99, "findings": [], "blind_spots": []}
+    results = json.loads(report.sarif(f, 40).first().report)["runs"][0]["results"]
+    assert [(r["level"], "suppressions" in r) for r in results] == [("error", True), ("note", False)]
+    text = report.markdown(f.withColumn("rank", F.col("id")))
+    assert text.count("\n") == 4 and "a \\| b" in text
+    assert report.redacted(f, "s").columns == ["rule_id", "severity", "confidence", "model_name"] and "m1" not in {r.model_name for r in report.redacted(f, "s").collect()}
+    with pytest.raises(ValueError, match="token"):
+        report.drop_run_databases(spark, "x")
+
+
+def test_changes_and_locations(spark):
+    from driftledger.sources import changes as ch
+
+    changed = spark.createDataFrame([("models/a.sql", "M"), ("macros/money.sql", "M"), ("README.md", "A"), ("models/schema.yml", "M")], "path string, status string")
+    nodes = spark.createDataFrame([("a", "models/a.sql"), ("b", "models/b.sql"), ("c", "models/c.sql")], "name string, path string")
+    macros = spark.createDataFrame([("money", "signed"), ("signed", "b"), ("other", "c")], "parent string, child string")
+    assert sorted(tuple(r) for r in ch.changed_models(changed, nodes, macros).collect()) == [("a", "file"), ("b", "macro")]
+    nodes = spark.createDataFrame([("s", True, False, False), ("m", True, True, False), ("n", True, True, False), ("o", False, False, True)], "name string, selected boolean, buildable boolean, exists boolean")
+    edges = spark.createDataFrame([("s", "m"), ("o", "n")], "parent string, child string")
+    assert {r.name: r.place for r in ch.locations(nodes, edges).collect()} == {"s": "blocked", "m": "blocked", "n": "built", "o": "read in place"}
