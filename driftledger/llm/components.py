@@ -29,5 +29,6 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         path, labels = stepped._staged_path, stepped.select("node", "label")
         labels._staged_path = path
         if not changed:
+            drop_staged(both)
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")

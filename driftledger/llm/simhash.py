@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import bounded_batches, staged, without_ids
+from .storage import bounded_batches, drop_staged, staged, without_ids
 
 BITS = 64
 
@@ -87,7 +87,9 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed:
     """
     prints = staged(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    labels = connected_components(staged(links(distinct, distance), "links"))
+    near = staged(links(distinct, distance), "links")
+    labels = connected_components(near)
+    drop_staged(near)
     linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     component = linked.join(least, "label").select("fp", "component_id")

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths handed out in this process, for release().
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,7 +38,8 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -69,6 +74,12 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all that this process staged; frames that were made of it can no longer be read."""
+    while _MADE:
+        delete(spark, _MADE.pop())
+
+
 def open_filesystem(uri: str):
     """(filesystem, path) for raw bytes at a URI: local mounts, HDFS, S3 and GCS, as pyarrow knows them."""
     from pyarrow import fs
