@@ -18,15 +18,16 @@ from .storage import staged
 #: White space between words, and the characters that count as symbols.
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]+"
 #: A-Z, a-z and everything beyond ASCII.
-LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window that must not recur.
 WINDOW = 8
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _count(text: Column, runs: str) -> Column:
+    """Characters in all runs of a class: what goes when they are replaced by nothing, without a list of matches."""
+    return F.length(text) - F.length(F.regexp_replace(text, runs, ""))
 
 
 def _folded(hashes: Column, n: Column, step: int) -> Column:
@@ -43,14 +44,13 @@ def features(docs: DataFrame) -> DataFrame:
     df = df.select(
         "doc_id",
         F.size("words").alias("n_words"),
-        F.length(_without(F.col("text"), SPACE)).alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).alias("n_symbols"),
-        F.regexp_count("text", F.lit("[A-Z]")).alias("n_upper"),
-        F.regexp_count("text", F.lit("[a-z]")).alias("n_lower"),
-        F.regexp_count("text", F.lit(LETTERS)).alias("n_letters"),
-        F.regexp_count("text", F.lit("!")).alias("n_bang"),
+        F.length(F.array_join("words", "")).alias("word_chars"),
+        _count(F.col("text"), SYMBOLS).alias("n_symbols"),
+        _count(F.col("text"), "[A-Z]+").alias("n_upper"),
+        _count(F.col("text"), LETTERS).alias("n_letters"),
+        (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).alias("n_bang"),
         F.size("lines").alias("n_lines"),
-        F.when(F.size(F.array_distinct("lines")) < F.size("lines"), F.filter("lines", lambda x: _without(x, SPACE) != "")).alias("lines"),
+        F.when(F.size(F.array_distinct("lines")) < F.size("lines"), F.filter("lines", lambda x: F.btrim(x, F.lit(SPACE)) != "")).alias("lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h1"),
     )
     n = F.col("n_words")
@@ -70,7 +70,7 @@ def features(docs: DataFrame) -> DataFrame:
     steps = F.zip_with(F.slice("at", F.lit(1), k - 1), F.slice("at", F.lit(2), k - 1), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.when(F.col("at").isNull(), 0).otherwise(F.aggregate(steps, F.lit(WINDOW), lambda s, x: s + x))
     dup = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size(F.array_distinct("lines")))
-    names = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lower", "n_letters", "n_bang", "n_lines")
+    names = ("n_words", "word_chars", "n_symbols", "n_upper", "n_letters", "n_bang", "n_lines")
     return df.select("doc_id", *(F.col(c).cast("long").alias(c) for c in names), dup.cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"))
 
 
@@ -91,7 +91,7 @@ RULES = (
     Rule("symbol_share", "200 * n_symbols < word_chars", "50 * n_symbols > word_chars"),
     Rule("letters", "100 * n_letters > 92 * word_chars", "100 * n_letters < 85 * word_chars"),
     Rule("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
-    Rule("capitals", "4 * n_upper < n_lower", "n_upper > n_lower"),
+    Rule("capitals", "5 * n_upper < n_letters", "2 * n_upper > n_letters"),
     Rule("shouting", "50 * n_bang < n_words", "5 * n_bang > n_words"),
 )
 
