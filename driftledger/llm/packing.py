@@ -140,7 +140,7 @@ def places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 
 def _piece_rows(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, 500_000)  # leaves room for what other stages keep in a worker
         end, width = np.array([end_id], e.dtype).tobytes(), e.dtype.itemsize
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -135,6 +135,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_entries: int = 1_200_000) -> Encoder:
     """One encoder for each worker process and tokenizer file."""
-    return Encoder(path)
+    return Encoder(path, cache_entries)
