@@ -24,13 +24,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def _narrow(text: str) -> bool:
+    """Whether every character is among the first 256, for which the splitter's own words are known."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _split(text: str) -> list[str]:
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return _CHUNK.findall(text)
-    return _WORD.findall(text)
+    """The splitter's own words; where a chunk has other characters than the first 256, that chunk whole."""
+    if _narrow(text):
+        return _WORD.findall(text)
+    out = []
+    for chunk in _CHUNK.findall(text):
+        if _narrow(chunk):
+            out += _WORD.findall(chunk)
+        else:
+            out.append(chunk)
+    return out
 
 
 def _holes(ids: list[bytes | None]) -> list[int]:
@@ -47,9 +62,10 @@ def _holes(ids: list[bytes | None]) -> list[int]:
 class Encoder:
     """Ids of whole texts, as little-endian integers of the narrowest type that holds the vocabulary.
 
-    A byte-level splitter joins nothing across the boundaries of _split(), so ids are cached by chunk. New chunks of a
-    batch go to the library in one text, with line feeds between them. Other tokenizers are called plainly. The cache is
-    emptied when it holds ``cache_entries`` chunks, about 200 bytes each.
+    A byte-level splitter joins nothing across the boundaries of _split(), so ids are cached by chunk. New words of a
+    batch go to the bare model in one text, with line feeds between them; chunks that may hold several words go to the
+    whole library, which splits them. Other tokenizers are called plainly. The cache is emptied when it holds
+    ``cache_entries`` chunks, about 200 bytes each.
     """
 
     def __init__(self, path: str, cache_entries: int = 1_200_000):
@@ -90,12 +106,11 @@ class Encoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
     def _learn(self, chunks: list[str]) -> None:
-        words = []
+        words, whole = [], []
         for c in chunks:
-            if c.isspace():
-                (self.cache[c],) = self._plain([c])
-            else:
-                words.append(c)
+            (whole if c.isspace() or not _narrow(c) else words).append(c)
+        if whole:
+            self.cache.update(zip(whole, self._plain(whole), strict=True))
         width = self.dtype.itemsize
         for at in range(0, len(words), 512):
             part = words[at : at + 512]

@@ -40,3 +40,8 @@ def test_null_is_empty_and_word_tokenizer_is_plain():
     import numpy as np
 
     assert np.frombuffer(other.encode(["Hello World"])[0], other.dtype).tolist() == other.tokenizer.encode("Hello World", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["\u4e2d )'s 'tis", "\u4e2d [x]'s -'t 'single", "he\u2019s 's \u201cit's\u201d's a\u2014b's", "\U0001f600's)'ll \u4e2d\u6587'd12ab", "\u3000 'tis\u3000\u3000)'s \n\n 'tis", "\u0153's 'tis\xa0\xa0x \x85\u2028 a"])
+def test_words_beside_wider_characters(text):
+    assert ids(OURS.encode([text])[0]) == LIBRARY.encode(text, add_special_tokens=False).ids
