@@ -101,7 +101,12 @@ def one_of_each(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int
 
     Of rows that repeat a doc_id one stays. Rows without a doc_id all stay, as nothing names them.
     """
-    found = near_duplicates(docs, distance, shingle, seed).where("doc_id is not null")
+    return keep_one(docs, near_duplicates(docs, distance, shingle, seed))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of documents whose doc_id is their component_id in ``found``, and those without a doc_id."""
+    found = found.where("doc_id is not null")
     seen = staged(found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count(F.lit(1)).alias("n")), "kept-ids")
     out = without_ids(docs, seen.where("copy"))
     if seen.where("n > 1").limit(1).count():
