@@ -64,8 +64,8 @@ class Encoder:
 
     A byte-level splitter joins nothing across the boundaries of _split(), so ids are cached by chunk. New words of a
     batch go to the bare model in one text, with line feeds between them; chunks that may hold several words go to the
-    whole library, which splits them. Other tokenizers are called plainly. The cache is emptied when it holds
-    ``cache_entries`` chunks, about 200 bytes each.
+    whole library, which splits them, and so do whole texts that hold a special token, which the library cuts out first.
+    Other tokenizers are called plainly. The cache is emptied when it holds ``cache_entries`` chunks, about 200 bytes each.
     """
 
     def __init__(self, path: str, cache_entries: int = 1_200_000):
@@ -75,7 +75,6 @@ class Encoder:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.cache_entries = cache_entries
@@ -91,6 +90,7 @@ class Encoder:
             and spec["model"].get("type", "BPE") == "BPE"
             and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         )
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)")
         if self.chunked:
             (self.line_feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
             # The same model for words that are split already: their bytes as the vocabulary's characters, cut at line feeds.
@@ -129,6 +129,13 @@ class Encoder:
         texts = [t or "" for t in texts]
         if not self.chunked:
             return self._plain(texts)
+        whole = [k for k, t in enumerate(texts) if self.special.search(t)]
+        out = self._by_chunk(["" if self.special.search(t) else t for t in texts] if whole else texts)
+        for k, ids in zip(whole, self._plain([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
+
+    def _by_chunk(self, texts: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 64):
             if len(self.cache) > self.cache_entries:

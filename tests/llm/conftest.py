@@ -38,5 +38,4 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return public_tokenizers.path("byte_bpe_50k.json"), lambda text: t.encode(text or "", add_special_tokens=False).ids

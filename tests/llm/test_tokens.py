@@ -8,7 +8,6 @@ from driftledger.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 OURS = Encoder(PATH, cache_entries=50)
 
 
@@ -18,6 +17,7 @@ def ids(raw: bytes) -> list[int]:
     return np.frombuffer(raw, OURS.dtype).tolist()
 
 
+PIECES = ["'s", "'ll", " 'tis", ")'", "\u2019s ", "\u0416 f'stuff", "\u4e2d\u6587 ", "<|endoftext|>", "<|endoftext", "\u3000", "\n\n", " don't", "\u201cwe've\u201d", "\u0441\u043b\u043e\u0432\u043e'd", "\U0001f600'm", "  ", "12'3"]
 ALPHABET = st.sampled_from(list("aZé ²1'strevlmd\n\t\r\x0b\x1c\x85\xa0  ​œß中-_.,!<|>\U0001f600"))
 
 
@@ -45,3 +45,11 @@ def test_null_is_empty_and_word_tokenizer_is_plain():
 @pytest.mark.parametrize("text", ["\u4e2d )'s 'tis", "\u4e2d [x]'s -'t 'single", "he\u2019s 's \u201cit's\u201d's a\u2014b's", "\U0001f600's)'ll \u4e2d\u6587'd12ab", "\u3000 'tis\u3000\u3000)'s \n\n 'tis", "\u0153's 'tis\xa0\xa0x \x85\u2028 a"])
 def test_words_beside_wider_characters(text):
     assert ids(OURS.encode([text])[0]) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_mixed_scripts_quotes_and_special_tokens_by_the_thousand():
+    import random
+
+    r = random.Random(11)
+    texts = ["".join(r.choice(PIECES) if r.random() < 0.5 else r.choice("ab '\u0416\u4e2d-.1\xe9 \t") for _ in range(r.randint(1, 14))) for _ in range(20_000)]
+    assert [ids(x) for x in OURS.encode(texts)] == [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
