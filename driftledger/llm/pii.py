@@ -11,6 +11,7 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ JUDGED = ("local_phone", "national_id", "bank_account", "written_email", "loose_
 KINDS = BASE + JUDGED
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match from inside a number would have begun before
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = {
@@ -165,6 +166,25 @@ def _examples(n: int, seed: int) -> Iterator[tuple[str, int, int, int, int]]:
                 yield text, start, kind, end, int(label)
 
 
+class Intervals:
+    """What is covered of a text, as disjoint intervals in order; each question is one search."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at == len(self.starts) or self.starts[at] >= end
+
+    def cover(self, start: int, end: int) -> None:
+        """Add an interval; those that it overlaps become one with it."""
+        a, b = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        if a < b:
+            start, end = min(start, self.starts[a]), max(end, self.ends[b - 1])
+        self.starts[a:b], self.ends[a:b] = [start], [end]
+
+
 @dataclass(frozen=True)
 class Judge:
     trees: Trees
@@ -175,13 +195,16 @@ class Judge:
         found = candidates(text)
         if not found:
             return base
-        p = self.trees.probability(np.array([describe(text, *c) for c in found], np.float64))
-        taken = list(base)
+        p = np.concatenate([self.trees.probability(np.array([describe(text, *c) for c in found[a : a + 4096]], np.float64)) for a in range(0, len(found), 4096)])
+        out, taken = list(base), Intervals()
+        for start, _, end in base:
+            taken.cover(start, end)
         for k in sorted(range(len(found)), key=lambda k: (-p[k], found[k])):
             start, kind, end = found[k]
-            if p[k] >= self.limits[kind - len(BASE)] and all(end <= a or start >= b for a, _, b in taken):
-                taken.append((start, kind, end))
-        return sorted(taken)
+            if p[k] >= self.limits[kind - len(BASE)] and taken.free(start, end):
+                taken.cover(start, end)
+                out.append((start, kind, end))
+        return sorted(out)
 
 
 @functools.lru_cache(maxsize=1)
