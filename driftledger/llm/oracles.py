@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import KINDS, ROLES
+from .secrets import FIRST_WEAK, KINDS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -38,27 +38,23 @@ def secrets(scope: int = 200) -> str:
         value = f"regexp_extract(m, {p}, {k.group})" if k.group else "m"
         also = "".join(f" and regexp_matches(m, {_literal(a)})" for a in k.also)
         parts.append(
-            f"select row, doc_id, {n} as kind, i, length(piece) as gap, length(m) as size, length({value}) between {k.least} and {k.most}{also} as ok from "
-            f"(select row, doc_id, unnest(ms) as m, unnest(list_slice(ps, 1, len(ms))) as piece, unnest(generate_series(1, len(ms))) as i from (select row, doc_id, regexp_extract_all(text, {p}) as ms, string_split_regex(text, {p}) as ps from d) where len(ms) > 0)"
+            f"select row, {n} as kind, i, length(piece) as gap, length(m) as size, length({value}) >= {k.least}{also} as ok from "
+            f"(select row, unnest(ms) as m, unnest(list_slice(ps, 1, len(ms))) as piece, unnest(generate_series(1, len(ms))) as i from (select row, regexp_extract_all(text, {p}) as ms, string_split_regex(text, {p}) as ps from d) where len(ms) > 0)"
         )
     listed = lambda role: ", ".join(str(n) for n, k in enumerate(KINDS) if k.role == role)
-    forward, backward = "partition by row order by s, kind, e", "partition by row order by s desc, kind desc, e desc"
-    frame = "rows between unbounded preceding and 1 preceding"
-    near = ", ".join(
-        f"coalesce(s - max(case when kind in ({listed(r)}) then e end) over ({forward} {frame}) <= {scope}, false) or coalesce(min(case when kind in ({listed(r)}) then s end) over ({backward} {frame}) - e <= {scope}, false) as near_{r}" for r in ROLES
-    )
-    first = next(n for n, k in enumerate(KINDS) if k.weak)
-    covered = f"coalesce(max(case when kind < {first} then e end) over ({forward} {frame}) > s, false) or coalesce(min(case when kind < {first} then s end) over ({backward} {frame}) < e, false) as covered"
-    complete = f"case when kind in ({listed('identifier')}) then near_secret when kind in ({listed('secret')}) then near_identifier else near_identifier and near_secret end"
+    near = lambda role, t, also="": f"exists (select 1 from {t} o where o.row = {t}.row and o.kind in ({listed(role)}){also} and (o.e between {t}.s - {scope} and {t}.s or o.s between {t}.e and {t}.e + {scope}))"
+    covered = f"exists (select 1 from b o where o.row = b.row and o.kind < {FIRST_WEAK} and o.s < b.e and o.e > b.s)"
     names = "[" + ", ".join(f"'{k.name}'" for k in KINDS) + "]"
     counts = ", ".join(f"count(case when kind = {n} then 1 end) as n_{k.name}" for n, k in enumerate(KINDS) if not k.weak)
     return f"""
 with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents), m as ({" union all ".join(parts)}),
-a as (select row, doc_id, kind, ok, size, sum(gap + size) over (partition by row, kind order by i) as e from m),
-b as (select row, doc_id, kind, cast(e - size as bigint) as s, cast(e as bigint) as e from a where ok),
-c as (select *, {near}, {covered} from b),
-r as (select row, kind, s, e, list_extract({names}, kind + 1) || ':' || s || ':' || e as span from c where kind < {first} or ({complete} and not covered)),
-g as (select row, {counts}, coalesce(string_agg(case when kind < {first} then span end, ',' order by s, kind, e), '') as base, string_agg(span, ',' order by s, kind, e) as spans, count(case when kind >= {first} then 1 end) as n_linked from r group by row)
+a as (select row, kind, ok, size, sum(gap + size) over (partition by row, kind order by i) as e from m),
+b as (select row, kind, cast(e - size as bigint) as s, cast(e as bigint) as e from a where ok),
+n as (select *, {near("identifier", "b")} as near_identifier, {near("secret", "b")} as near_secret, {covered} as covered from b),
+c as (select *, {near("identifier", "n", " and o.near_secret")} and {near("secret", "n", " and o.near_identifier")} as near_both from n),
+r as (select row, kind, s, e, list_extract({names}, kind + 1) || ':' || s || ':' || e as span from c where kind < {FIRST_WEAK} or (not covered and
+    case when kind in ({listed("identifier")}) then near_secret when kind in ({listed("secret")}) then near_identifier else near_both end)),
+g as (select row, {counts}, coalesce(string_agg(case when kind < {FIRST_WEAK} then span end, ',' order by s, kind, e), '') as base, string_agg(span, ',' order by s, kind, e) as spans, count(case when kind >= {FIRST_WEAK} then 1 end) as n_linked from r group by row)
 select d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0) as n_{k.name}" for k in KINDS if not k.weak)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_linked, 0) as n_linked from d left join g on d.row = g.row
 """
 
