@@ -2,13 +2,18 @@
 
 The index is split by documents: a row holds a few megabytes of whole documents as a dictionary of their words and, for
 each word, the rising list of its positions. All lists that one phrase needs for one document are then in one row, so
-that a search needs no shuffle. Benchmark windows are searched from their two rarest words: the offset-adjusted lists of
-these are intersected first, those of the other words after them.
+that a search needs no shuffle. Benchmark windows are searched in every row from the words that are rarest there: the
+offset-adjusted list of the rarest is intersected with that of the next rarest, what is left with the third, and so on.
+
+The benchmark is written in parts of bounded size to the shared folder, from where each search reads one part after
+another; the driver sees the names of the parts only.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,24 +22,29 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, staged, without_ids
+from .storage import bounded_batches, new_path, read_bytes, staged, without, write_bytes
 
 #: Fixed value: a word is a longest run of digits, letters a-z and characters beyond ASCII, in lower-cased text.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-INDEX = "block string, doc_ids array<long>, n_words array<int>, terms binary, counts binary, positions binary"
+INDEX = "doc_ids array<long>, text_keys array<long>, n_words array<int>, terms binary, counts binary, positions binary"
 
 
 def words(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode("utf-8", "replace").lower())
 
 
+def text_key() -> Column:
+    """A hash of the text: what is decided of a text holds for every row that has it, whatever its doc_id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _index_rows(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, made = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
+        keys: list[int] = []
         n_words: list[int] = []
         ids: list[np.ndarray] = []
         vocabulary: dict[bytes, int] = defaultdict()
@@ -42,27 +52,27 @@ def _index_rows(block_bytes: int):
         held = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal made, held
+            nonlocal held
             flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
             narrow = flat.astype(np.uint16) if len(vocabulary) <= 1 << 16 else flat  # 16 bits sort by radix
             out = {
-                "block": [f"{partition}-{made}"],
                 "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())),
+                "text_keys": pa.array([list(keys)], pa.list_(pa.int64())),
                 "n_words": pa.array([list(n_words)], pa.list_(pa.int32())),
                 "terms": pa.array([b"\n".join(vocabulary)], pa.binary()),
                 "counts": pa.array([np.bincount(flat, minlength=len(vocabulary)).astype("<u4").tobytes()], pa.binary()),
                 "positions": pa.array([np.argsort(narrow, kind="stable").astype("<u4").tobytes()], pa.binary()),
             }
-            made, held = made + 1, 0
-            doc_ids.clear(), n_words.clear(), ids.clear(), vocabulary.clear()
+            held = 0
+            doc_ids.clear(), keys.clear(), n_words.clear(), ids.clear(), vocabulary.clear()
             return pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc_id, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     found = words(text)
-                    doc_ids.append(doc_id), n_words.append(len(found))
+                    doc_ids.append(doc_id), keys.append(key), n_words.append(len(found))
                     ids.append(np.fromiter(map(vocabulary.__getitem__, found), np.uint32, len(found)))
                     held += len(text or "") + 16
                     if held >= block_bytes:
@@ -76,7 +86,7 @@ def _index_rows(block_bytes: int):
 def build_index(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """The stored index, one row for each block of whole documents; null text has no words, extra columns are not read."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index_rows(block_bytes), INDEX)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(_index_rows(block_bytes), INDEX)
     return staged(rows, "positions")
 
 
@@ -89,41 +99,78 @@ class Windows:
     length: np.ndarray
     item: np.ndarray
     items: list[str]
-    # Set by by_rarity(): places of a window's words from the rarest on, and the distinct starts of the search.
-    order: np.ndarray | None = None
-    pair: np.ndarray | None = None
-    pairs: np.ndarray | None = None
 
 
-def make_windows(items: list[tuple[str, str | None]], size: int) -> Windows:
+def make_windows(items: list[tuple[str, list[bytes]]], size: int) -> Windows:
+    """The windows of items or of pieces of items, which share a name."""
     number: dict[bytes, int] = {}
-    rows, length, item, names = [], [], [], []
-    for name, text in items:
-        found = [number.setdefault(w, len(number)) for w in words(text)]
-        if not found:
+    named: dict[str, int] = {}
+    rows, length, item = [], [], []
+    for name, own in items:
+        found = np.array([number.setdefault(w, len(number)) for w in own], np.int64)
+        n = min(size, len(found))
+        if not n:
             continue
-        names.append(name)
-        for at in range(max(1, len(found) - size + 1)):
-            row = found[at : at + size]
-            rows.append(row + [-1] * (size - len(row)))
-            length.append(len(row))
-            item.append(len(names) - 1)
-    return Windows(list(number), np.array(rows, np.int64).reshape(-1, size), np.array(length, np.int64), np.array(item, np.int64), names)
-
-
-def by_rarity(w: Windows, frequency: np.ndarray) -> Windows:
-    """Order each window's words by corpus frequency, and gather the windows that share their two rarest words."""
-    rank = np.empty(len(frequency), np.int64)
-    rank[np.lexsort((np.arange(len(frequency)), frequency))] = np.arange(len(frequency))
-    weight = np.where(w.words >= 0, rank[w.words], len(frequency))
-    w.order = np.argsort(weight, axis=1, kind="stable")
-    rows = np.arange(len(w.words))
-    first, second = w.order[:, 0], w.order[:, min(1, w.words.shape[1] - 1)]
-    alone = w.length == 1
-    starts = np.stack([w.words[rows, first], np.where(alone, -1, w.words[rows, second]), np.where(alone, 0, second - first)], axis=1)
-    w.pairs, w.pair = np.unique(starts, axis=0, return_inverse=True)
-    w.pair = w.pair.reshape(-1)
-    return w
+        at = np.arange(len(found) - n + 1)[:, None] + np.arange(n)
+        rows.append(np.pad(found[at], ((0, 0), (0, size - n)), constant_values=-1))
+        length.append(np.full(len(at), n))
+        item.append(np.full(len(at), named.setdefault(name, len(named))))
+    none = np.zeros(0, np.int64)
+    return Windows(list(number), np.concatenate([none.reshape(0, size), *rows]), np.concatenate([none, *length]), np.concatenate([none, *item]), list(named))
+
+
+def _part_files(folder: str, size: int, part_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, names, sizes, held, n = TaskContext.get().partitionId(), [], [], [], 0
+
+        def close() -> None:
+            nonlocal n
+            if held:
+                names.append(f"part-{task:06d}-{len(names):06d}.json")
+                sizes.append(n)
+                write_bytes(folder, names[-1], [json.dumps(held).encode()])
+                held.clear()
+                n = 0
+
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = [w.decode("latin-1") for w in words(text)]
+                step = max(size, part_words)  # a longer item is cut so that every window is whole in one piece
+                for at in range(0, max(1, len(own) - size + 1), step):
+                    piece = own[at : at + step + size - 1]
+                    held.append([name, " ".join(piece)])
+                    n += len(piece)
+                    if n >= part_words:
+                        close()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "n_words"])
+
+    return run
+
+
+def write_parts(benchmark: DataFrame, folder: str, size: int, part_words: int) -> list[list[str]]:
+    """Write the benchmark's words and return the files of each part, a part of about ``part_words`` words or less.
+
+    An item without an id counts as the item "null"; a null text has no words.
+    """
+    bounded_batches(benchmark.sparkSession)
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+    files = rows.mapInArrow(_part_files(folder, size, part_words), "name string, n_words long").collect()
+    parts, n = [], part_words
+    for f in sorted(files):
+        if n + f.n_words > part_words:
+            parts.append([])
+            n = 0
+        parts[-1].append(f.name)
+        n += f.n_words
+    return parts
+
+
+@functools.lru_cache(maxsize=1)
+def load_part(folder: str, files: tuple[str, ...], size: int) -> Windows:
+    """One part of the benchmark, kept by a worker until it needs another."""
+    items = [(name, text.encode("latin-1").split()) for f in files for name, text in json.loads(read_bytes(folder, f))]
+    return make_windows(items, size)
 
 
 def _runs(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,33 +183,33 @@ def _runs(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Block:
     """One row of the index, opened for a search."""
 
-    def __init__(self, doc_ids: list, n_words: list, terms: bytes, counts: bytes, positions: bytes):
-        self.doc_ids, self.n_words = doc_ids, np.array(n_words, np.int64)
+    def __init__(self, doc_ids: list, text_keys: list, n_words: list, terms: bytes, counts: bytes, positions: bytes):
+        self.doc_ids, self.text_keys, self.n_words = doc_ids, text_keys, np.array(n_words, np.int64)
         self.ends = np.cumsum(self.n_words)
         self.local = {t: k for k, t in enumerate(terms.split(b"\n"))} if counts else {}
         self.counts = np.frombuffer(counts, "<u4").astype(np.int64)
         self.positions = np.frombuffer(positions, "<u4").astype(np.int64)
         self.begin = np.cumsum(self.counts) - self.counts
         self.total = len(self.positions)
-        self.term_at = np.empty(self.total, np.int64)
-        self.term_at[self.positions] = np.repeat(np.arange(len(self.counts)), self.counts)
+        # Every posting as one number, its list's and its place in it; all lists one after another rise.
+        self.postings = np.repeat(np.arange(len(self.counts)), self.counts) * self.total + self.positions
 
     def document(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, position, side="right")
 
-    def holds(self, term: np.ndarray, position: np.ndarray, slop: int) -> np.ndarray:
-        """Whether the term's list, adjusted by its offset, meets the position, within the slop."""
-        if not slop:
-            inside = (position >= 0) & (position < self.total)
-            return inside & (self.term_at[np.where(inside, position, 0)] == term)
-        keys = np.repeat(np.arange(len(self.counts)), self.counts) * (self.total + 1) + self.positions
-        low = np.clip(position - slop, 0, self.total)
-        at = np.searchsorted(keys, term * (self.total + 1) + low)
-        there = at < len(keys)
-        return there & (keys[np.where(there, at, 0)] <= term * (self.total + 1) + np.minimum(position + slop, self.total))
-
-    def search(self, w: Windows, slop: int = 0, at_once: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, start) of every occurrence within one document; with a slop, each word may stand so far from its place."""
+    def meets(self, term: np.ndarray, place: np.ndarray, doc: np.ndarray, slop: int) -> np.ndarray:
+        """Whether the term's list has a position within the slop of the place, in the document: a binary search in it."""
+        low, high = np.maximum(place - slop, self.ends[doc] - self.n_words[doc]), np.minimum(place + slop, self.ends[doc] - 1)
+        at = np.searchsorted(self.postings, term * self.total + low)
+        there = (at < self.total) & (low <= high)
+        return there & (self.postings[np.where(there, at, 0)] <= term * self.total + high)
+
+    def search(self, w: Windows, slop: int = 0, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, start, document, whether exact) wherever each word of a window stands within the slop of its own place.
+
+        Without a slop these are the exact occurrences. With one, a start may lie up to the slop outside of its document;
+        words are looked for inside the document only.
+        """
         if not self.total or not len(w.words):
             return
         local = np.fromiter((self.local.get(t, -1) for t in w.terms), np.int64, len(w.terms))
@@ -170,192 +217,151 @@ class Block:
         active = np.flatnonzero((here >= 0).all(axis=1))
         if not len(active):
             return
-        active = active[np.argsort(w.pair[active], kind="stable")]
-        pairs, pair_begin, pair_count = np.unique(w.pair[active], return_index=True, return_counts=True)
-        rare, next_, delta = local[w.pairs[pairs, 0]], w.pairs[pairs, 1], w.pairs[pairs, 2]
-        next_ = np.where(next_ >= 0, local[next_], -1)
-        n = self.counts[rare]
+        here, length = here[active], w.length[active]
+        weight = np.where(w.words[active] >= 0, self.counts[here], np.iinfo(np.int64).max)
+        order = np.argsort(weight, axis=1, kind="stable")
+        rows = np.arange(len(active))
+        first, second = order[:, 0], order[:, min(1, order.shape[1] - 1)]
+        next_ = np.where(length > 1, here[rows, second], -1)
+        # Windows whose two rarest words are the same, as far apart, share one intersection of these.
+        starts = np.stack([here[rows, first], next_, np.where(length > 1, second - first, 0)], axis=1)
+        pairs, pair = np.unique(starts, axis=0, return_inverse=True)
+        pair = pair.reshape(-1)
+        by_pair, pair_count = np.argsort(pair, kind="stable"), np.bincount(pair, minlength=len(pairs))
+        pair_begin = np.cumsum(pair_count) - pair_count
+        rare, next_, delta = pairs.T
+        shifts, n = np.arange(-slop, slop + 1), self.counts[rare]
         cuts = np.searchsorted(np.cumsum(n), np.arange(at_once, n.sum() + at_once, at_once), side="left") + 1
         for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
             which, place = _runs(self.begin[rare[a:b]], n[a:b])
-            place = self.positions[place]
-            keep = (next_[a:b][which] < 0) | self.holds(next_[a:b][which], place + delta[a:b][which], slop)
-            which, place = which[keep], place[keep]
-            at, window = _runs(pair_begin[a:b][which], pair_count[a:b][which])
-            window, start = active[window], place[at]
-            start = start - w.order[window, 0]
-            for k in range(2, w.words.shape[1]):
-                column = w.order[window, k]
-                keep = (k >= w.length[window]) | self.holds(here[window, column], start + column, slop)
-                window, start = window[keep], start[keep]
-            keep = (start >= 0) & (start + w.length[window] <= self.total)
-            window, start = window[keep], start[keep]
-            keep = self.document(start) == self.document(start + w.length[window] - 1)
-            yield window[keep], start[keep]
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Block]]:
+            place, term = self.positions[place], next_[a:b][which]
+            doc = self.document(place)
+            keep = (term < 0) | self.meets(np.maximum(term, 0), place + delta[a:b][which], doc, 2 * slop)
+            which, place, doc = which[keep], place[keep], doc[keep]
+            # Every window that begins with such a pair, at every start that leaves the rarest word within the slop.
+            at, row = _runs(pair_begin[a:b][which], pair_count[a:b][which])
+            row, at, shift = np.repeat(by_pair[row], len(shifts)), np.repeat(at, len(shifts)), np.tile(shifts, len(row))
+            start, doc = place[at] - first[row] + shift, doc[at]
+            row, start, doc = self._all_meet(here, length, order, row, start, doc, slop)
+            if slop and len(row):  # several places of the rarest word may give one start
+                row, start, doc = np.unique(np.stack([row, start, doc], axis=1), axis=0).T
+            exact = np.ones(len(row), bool)
+            if slop:
+                exact[:] = False
+                mark = np.arange(len(row))
+                exact[self._all_meet(here, length, order, row, start, doc, 0, mark)[3]] = True
+            yield active[row], start, doc, exact
+
+    def _all_meet(self, here: np.ndarray, length: np.ndarray, order: np.ndarray, row: np.ndarray, start: np.ndarray, doc: np.ndarray, slop: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Those of the starts at which all words of the window meet, the rarest words first."""
+        kept = (row, start, doc, *more)
+        for k in range(order.shape[1]):
+            row, start, doc, *_ = kept
+            column = order[row, k]
+            keep = (k >= length[row]) | self.meets(here[row, column], start + column, doc, slop)
+            kept = tuple(x[keep] for x in kept)
+        return kept
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
-            yield row.pop("block"), Block(**row)
-
-
-def _frequency_rows(terms: list[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms), np.int64)
-        for batch in batches:
-            for blob, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if counts:
-                    local = {t: k for k, t in enumerate(blob.split(b"\n"))}
-                    total += np.append(np.frombuffer(counts, "<u4"), 0)[[local.get(t, -1) for t in terms]]
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["term", "n"])
-
-    return run
+            yield Block(**{name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)})
 
 
 def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _part_rows(w: Windows):
-    """For each document: its hit words as runs (start, end, ...) and the items that hit it, by one part of the windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, block in _blocks(batches):
-            edge = np.zeros(block.total + 1, np.int32)
-            found: dict[int, set[int]] = defaultdict(set)
-            for window, start in block.search(w):
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + w.length[window], -1)
-                for d, i in np.unique(np.stack([block.document(start), w.item[window]], axis=1), axis=0).tolist():
-                    found[d].add(i)
-            hit = np.cumsum(edge[:-1]) > 0
-            n, runs = len(block.doc_ids), []
-            for d in range(n):
-                if d in found:
-                    begin = int(block.ends[d] - block.n_words[d])
-                    x = np.flatnonzero(np.diff(np.concatenate([[0], hit[begin : int(block.ends[d])].astype(np.int8), [0]])))
-                    runs.append(x.tolist())
-                else:
-                    runs.append([])
-            items = [[w.items[i] for i in sorted(found.get(d, ()))] for d in range(n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * n), pa.array(range(n), pa.int64()), pa.array(block.doc_ids, pa.int64()), pa.array(block.n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                ["block", "ordinal", "doc_id", "n_words", "runs", "items"],
-            )
-
-    return run
-
+class _Found:
+    """What the parts searched so far have hit in one block."""
 
-PART = "block string, ordinal long, doc_id long, n_words long, runs array<long>, items array<string>"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+    def __init__(self, block: Block):
+        self.block, self.edge = block, np.zeros(block.total + 1, np.int32)
+        self.exact: dict[int, set[str]] = defaultdict(set)
+        self.near: dict[int, set[str]] = defaultdict(set)
 
+    def add(self, w: Windows, slop: int) -> None:
+        for window, start, doc, exact in self.block.search(w, slop):
+            np.add.at(self.edge, start[exact], 1)
+            np.add.at(self.edge, start[exact] + w.length[window[exact]], -1)
+            for mask, into in ((exact, self.exact), (slice(None), self.near)):
+                for d, i in np.unique(np.stack([doc[mask], w.item[window[mask]]], axis=1), axis=0).tolist():
+                    into[d].add(w.items[i])
 
-def _result(doc_id, n_words: int, runs: list[list[int]], items: set[str]) -> dict:
-    n, last = 0, -1
-    for a, b in sorted((r[k], r[k + 1]) for r in runs for k in range(0, len(r), 2)):
-        n += max(0, b - max(a, last))
-        last = max(last, b)
-    return {"doc_id": doc_id, "n_words": n_words, "n_hit": n, "n_items": len(items), "items_sha256": _digest(list(items)), "contaminated": n > 0, "items": sorted(items)}
+    def rows(self) -> pa.RecordBatch:
+        b = self.block
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(self.edge[:-1]) > 0)])
+        n_hit = hit[b.ends] - hit[b.ends - b.n_words]
+        docs, nothing = range(len(b.doc_ids)), _digest([])
+        of = lambda found: (pa.array([len(found.get(d, ())) for d in docs], pa.int64()), pa.array([_digest(list(found[d])) if d in found else nothing for d in docs]))
+        columns = [pa.array(b.doc_ids, pa.int64()), pa.array(b.n_words), pa.array(n_hit, pa.int64()), *of(self.exact), pa.array(n_hit > 0), *of(self.near)]
+        columns += [pa.array([sorted(self.exact.get(d, ())) for d in docs], pa.list_(pa.string())), pa.array(b.text_keys, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "items": pa.list_(pa.string())}
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in types.items()], list(types))
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long, near_items_sha256 string, items array<string>, text_key long"
 
 
-def _single_rows(w: Windows):
-    part = _part_rows(w)
-
+def _result_rows(folder: str, parts: list[list[str]], size: int, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in part(batches):
-            column = [c.to_pylist() for c in batch.columns[2:]]
-            yield _batch([_result(d, n, [r], set(i)) for d, n, r, i in zip(*column, strict=True)])
+        for batch in batches:
+            found = [_Found(block) for block in _blocks([batch])]
+            for files in parts:
+                w = load_part(folder, tuple(files), size)
+                for x in found:
+                    x.add(w, slop)
+            yield from (x.rows() for x in found)
 
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    column = {k: table.column(k).to_pylist() for k in table.column_names}
-    out = _result(column["doc_id"][0], column["n_words"][0], column["runs"], set().union(*column["items"]))
-    return pa.Table.from_batches([_batch([out])])
-
-
-def parts_of(benchmark: DataFrame, size: int, part_words: int) -> Iterator[Windows]:
-    """The benchmark as parts of at most about ``part_words`` words, so that what one search sends out is bounded."""
-    held, n = [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator():
-        held.append((row[0], row[1]))
-        n += len(row[1] or "") // 2
-        if n >= part_words:
-            yield make_windows(held, size)
-            held, n = [], 0
-    if held:
-        yield make_windows(held, size)
-
-
-def _with_frequency(index: DataFrame, w: Windows) -> Windows:
-    frequency = np.zeros(len(w.terms), np.int64)
-    rows = index.select("terms", "counts").mapInArrow(_frequency_rows(w.terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    for r in rows.collect():
-        frequency[r.term] = r.n
-    return by_rarity(w, frequency)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_words: int = 1 << 21) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, part_words: int = 1 << 20, slop: int = 2) -> DataFrame:
     """One row for each document: its words, those inside an occurrence of a window, and the items with such windows.
 
-    An item of fewer words than a window is one window. Null texts have no words and match nothing; an item without an
-    id counts as the item "null". Items of equal text each match. Rows that share a doc_id are judged each for itself.
-    The benchmark is searched in parts of bounded size; with several, their word runs are united per document.
+    Also the items of which a window stands near: each of its words, in the document, at most ``slop`` places from where
+    it would stand, exact occurrences included. An item of fewer words than a window is one window. Null texts have no
+    words and match nothing; an item without an id counts as the item "null". Items of equal text each match. Rows that
+    share a doc_id are judged each for itself; empty tables give no rows or no hits; extra columns are not read. The
+    benchmark is searched in parts of bounded size, one after another in each row of the index.
     """
     index = build_index(docs)
-    searches = [_with_frequency(index, w) for w in parts_of(benchmark, window, part_words)]
-    if len(searches) <= 1:
-        w = searches[0] if searches else by_rarity(make_windows([], window), np.zeros(0, np.int64))
-        return index.mapInArrow(_single_rows(w), RESULT)
-    union = None
-    for w in searches:
-        rows = index.mapInArrow(_part_rows(w), PART)
-        union = rows if union is None else union.unionByName(rows)
-    return union.groupBy("block", "ordinal").applyInArrow(_merge, RESULT)
-
-
-def _match_rows(w: Windows, slop: int):
+    folder = new_path(docs.sparkSession, "benchmark-parts")
+    return index.mapInArrow(_result_rows(folder, write_parts(benchmark, folder, window, part_words), window, slop), RESULT)
+
+
+def _match_rows(folder: str, parts: list[list[str]], size: int, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches):
-            exact = {(int(a), int(b)) for x, s in block.search(w) for a, b in zip(x, s, strict=True)}
-            for x, s in block.search(w, slop):
-                doc = block.document(s)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array([block.doc_ids[d] for d in doc], pa.int64()),
-                        "item_id": pa.array([w.items[i] for i in w.item[x]], pa.string()),
-                        "start": pa.array(s - (block.ends[doc] - block.n_words[doc]), pa.int64()),
-                        "length": pa.array(w.length[x], pa.int64()),
-                        "exact": pa.array([(int(a), int(b)) in exact for a, b in zip(x, s, strict=True)], pa.bool_()),
-                    }
-                )
+        for batch in batches:
+            blocks = list(_blocks([batch]))
+            for files in parts:
+                w = load_part(folder, tuple(files), size)
+                for block in blocks:
+                    for x, start, doc, exact in block.search(w, slop):
+                        columns = [
+                            pa.array([block.doc_ids[d] for d in doc], pa.int64()),
+                            pa.array([w.items[i] for i in w.item[x]], pa.string()),
+                            pa.array(start - (block.ends[doc] - block.n_words[doc]), pa.int64()),
+                            pa.array(w.length[x], pa.int64()),
+                            pa.array(exact, pa.bool_()),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start", "length", "exact"])
 
     return run
 
 
-def matches(index: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0, part_words: int = 1 << 21) -> DataFrame:
+def matches(index: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0, part_words: int = 1 << 20) -> DataFrame:
     """Every occurrence (doc_id, item_id, start word, length, exact) of a window.
 
-    With a slop, also proximity matches: from each place of the window's rarest word, every other word must stand within
-    the slop of its own place.
+    With a slop, also proximity matches: every start at which each word of the window stands within the slop of its own
+    place, in the same document; such a start may lie up to the slop outside of the document.
     """
-    schema = "doc_id long, item_id string, start long, length long, exact boolean"
-    out = index.sparkSession.createDataFrame([], schema)
-    for w in parts_of(benchmark, window, part_words):
-        out = out.unionByName(index.mapInArrow(_match_rows(_with_frequency(index, w), slop), schema))
-    return out
+    folder = new_path(index.sparkSession, "benchmark-parts")
+    parts = write_parts(benchmark, folder, window, part_words)
+    return index.mapInArrow(_match_rows(folder, parts, window, slop), "doc_id long, item_id string, start long, length long, exact boolean")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of documents that hold no benchmark window, all columns kept; rows without a doc_id stay."""
-    found = staged(contamination(docs, benchmark, window).where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return without_ids(docs, found)
+    """The rows of documents whose text holds no benchmark window, all columns kept; texts decide, whatever the doc_id."""
+    found = staged(contamination(docs, benchmark, window, slop=0).where("contaminated").select("text_key").distinct(), "contaminated")
+    return without(docs, [text_key()], found)

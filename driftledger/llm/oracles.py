@@ -15,9 +15,18 @@ sizes as (select distinct n from win),
 grams as (select row, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') as gram from (select row, w, n, unnest(generate_series(1, len(w) - n + 1)) as k from d, sizes where len(w) >= n)),
 hits as (select g.row, g.k, g.n, win.item from grams g join win on g.gram = win.gram and g.n = win.n),
 h as (select row, count(distinct p) as n_hit from (select row, unnest(generate_series(k, k + n - 1)) as p from hits) group by row),
-t as (select row, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as items from hits group by row)
-select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join h on d.row = h.row left join t on d.row = t.row
+t as (select row, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as items from hits group by row),
+p as (select row, unnest(w) as word, unnest(generate_series(1, len(w))) as place from d),
+u as (select n, gram, row_number() over () as u, string_split(gram, ' ') as ws from (select distinct n, gram from win)),
+j as (select u, n, unnest(ws) as word, unnest(generate_series(1, n)) as j from u),
+rare as (select u, arg_min(j.word, (coalesce(c, 0), j)) as word, arg_min(j, (coalesce(c, 0), j)) as j from j left join (select word, count(*) as c from p group by word) f on j.word = f.word group by u),
+starts as (select distinct p.row, rare.u, p.place - rare.j + 1 + s as start from rare join p on rare.word = p.word, (select unnest(generate_series(-2, 2)) as s)),
+near as (select starts.row, starts.u from starts join d on starts.row = d.row join j on starts.u = j.u group by starts.row, starts.u, start
+  having bool_and(start + j.j + 1 >= 1 and list_contains(list_slice(w, greatest(1, start + j.j - 3), greatest(1, start + j.j + 1)), j.word))),
+q as (select near.row, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as items from near join u on near.u = u.u join win on u.gram = win.gram and u.n = win.n group by near.row)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(t.n_items, 0) as n_items, sha256(coalesce(t.items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+coalesce(q.n_items, 0) as n_near_items, sha256(coalesce(q.items, '')) as near_items_sha256
+from d left join h on d.row = h.row left join t on d.row = t.row left join q on d.row = q.row
 """
 
 WARC = """

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,11 @@ _MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="driftledger-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -53,15 +55,29 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return out
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
-    """Rows of docs whose doc_id is not among ``ids.doc_id``; rows without a doc_id stay.
+def free_name(taken: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it, in any case of letters."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
 
-    The ids are broadcast if their counted size is at most ``most_bytes``; beyond that, both sides are dealt by doc_id.
+
+def without(docs: DataFrame, of: list[Column], keys: DataFrame, anti: bool = True, most_bytes: int = 8 << 20) -> DataFrame:
+    """Rows of docs whose expressions ``of`` equal no row of ``keys``, nulls being equal; or with ``anti`` false, those that do.
+
+    The keys are broadcast if their counted size is at most ``most_bytes``; beyond that, both sides are dealt by them.
     """
-    ids = ids.select(F.col("doc_id").alias("__id"))
-    if ids.count() * 16 <= most_bytes:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id") == F.col("__id"), "left_anti")
+    names = []
+    for k in range(len(of)):
+        names.append(free_name([*docs.columns, *names], f"key_{k}"))
+    keys = keys.toDF(*names)
+    if keys.count() * 16 * len(of) <= most_bytes:
+        keys = F.broadcast(keys)
+    same = F.lit(True)
+    for name, x in zip(names, of, strict=True):
+        same = same & x.eqNullSafe(F.col(name))
+    return docs.join(keys, same, "left_anti" if anti else "left_semi")
 
 
 def drop_staged(df: DataFrame) -> None:

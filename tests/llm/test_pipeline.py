@@ -3,10 +3,12 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from driftledger.llm import pii, quality_cnn, simhash
+from driftledger.llm import pii, quality_cnn
 from driftledger.llm.decontaminate import words
 from driftledger.llm.queries import table
 
+from .test_similar import brute_groups
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -17,14 +19,8 @@ def test_run_equals_a_plain_version(spark, tokenizer):
     keep = quality_cnn.probability([t.encode() for _, t in left], net, net.tables()) >= 0.5
     left = [x for x, k in zip(left, keep, strict=True) if k]
 
-    prints = {d: simhash.fingerprint(t) for d, t in left}
-    seen, kept = [], []
-    for d, t in sorted(left):  # transitive: a document goes if a chain of links leads to a smaller one
-        near = [g for g in seen if any((prints[d] ^ f).bit_count() <= 2 for f in g)]
-        if not near:
-            kept.append((d, t))
-        merged = [prints[d], *(f for g in near for f in g)]
-        seen = [g for g in seen if g not in near] + [merged]
+    group = brute_groups(sorted(left))  # transitive: a document goes if a chain of links leads to a smaller one
+    kept = [x for k, x in enumerate(sorted(left)) if group[k] == k]
     windows = {}
     for r in benchmark.collect():
         w = words(r.text)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from driftledger.llm import simhash
+from driftledger.llm import similar, simhash
 from driftledger.llm.components import connected_components
 
 
@@ -71,5 +71,21 @@ def test_components_of_long_chains(spark):
 def test_one_of_each(docs, rows):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert ids.count(5) == 1 and 6 not in ids and ids.count(None) == 1 and {0, 1, 2} & set(ids) == {0} and {9, 18, 19} <= set(ids)
+    prints = [brute_print(r[1]) for r in rows]
+    group = union([(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2], range(len(rows)))
+    first = {}
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
+        first.setdefault(group[k], rows[k][0])
+    assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr) == sorted(first.values(), key=repr)
+
+
+def test_one_of_each_goes_by_texts_where_ids_are_missing_or_repeat(spark):
+    r = random.Random(9)
+    text = lambda: " ".join("w%d" % r.randrange(9000) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a, "x", 1), (1, b, "y", 2), (None, a, "z", 3), (None, c, "x", 4), (None, c, "x", 5), (2, d, "p", 6), (2, d, "p", 7), (3, d, "q", 8), (None, None, None, None), (4, "", "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key_0 string, first_of int").repartition(3)
+    for one_of_each in (simhash.one_of_each, similar.one_of_each_similar):
+        kept = one_of_each(docs)
+        found = sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr)
+        assert kept.columns == docs.columns and found == sorted([(1, a), (1, b), (None, c), (2, d), (4, "")], key=repr)
