@@ -97,3 +97,101 @@ def test_edge_cases(docs, empty, spark, rows):
     assert cnn.classify(docs, labels.limit(0)).where("predicted = 1").count() == len(rows)
     kept = cnn.score(docs, cnn.Network().start(), docs.columns, "__score")
     assert kept.columns == [*docs.columns, "__score"]
+
+
+def plain_score(text, net):
+    """The forward pass written out: every filter at every place of every chunk."""
+    w, hop, reach = {k: v.astype(np.float64) for k, v in net.weights.items()}, net.chunk - net.overlap, net.chunk + net.width - 1
+    n, pools = max(1, -(-(len(text) - net.overlap) // hop)), []
+    for k in range(n):
+        piece = [*text[k * hop : k * hop + reach]]
+        piece += [cnn.PAD] * (reach - len(piece))
+        embedded = w["embed"][piece]
+        answers = [sum(embedded[p + j] @ w["conv"][j] for j in range(net.width)) + w["bias"] for p in range(net.chunk)]
+        pools.append(np.maximum(np.max(answers, axis=0), 0))
+    z = np.concatenate([np.max(pools, axis=0), np.mean(pools, axis=0)]) @ w["out"] + w["c"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_equal_a_plain_forward_pass():
+    net = cnn.Network().start(3)
+    net.weights["out"] = np.random.default_rng(2).normal(size=2 * net.filters).astype(np.float32)
+    texts = [b"", b"x", "中文 and é".encode(), b"word " * 300, bytes(range(256)) * 9, b"a" * 1000]
+    want = [plain_score(t, net) for t in texts]
+    for most in (1, 3, 4096):
+        assert cnn.probability(texts, net, net.tables(), most=most) == pytest.approx(want, abs=1e-5)
+
+
+def test_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    net = cnn.Network().start(3)
+    text = b"some words of a very long text. " * 300_000
+    tracemalloc.start()
+    (p,) = cnn.probability([text], net, net.tables())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= p <= 1 and peak < 100e6
+
+
+def test_chunks_are_drawn_from_the_whole_text():
+    net, text = cnn.Network(), bytes(k // 1000 % 256 for k in range(200_000))
+    drawn = cnn.draw(text, net, 32, 5)
+    places = [text.index(d) // 448 for d in drawn]
+    assert len(drawn) == len(set(drawn)) == 32 and min(places) < 60 and max(places) > 380
+    assert b"".join(cnn.draw(b"short", net, 32, 5)) == b"short"
+
+
+def test_a_repeated_doc_id_teaches_once(spark):
+    labels = spark.createDataFrame([(5, 1), (5, 0), (12, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(5, "b " * 50), (5, "a " * 50), (12, "% " * 50)] * 20, "doc_id long, text string")
+    one, two = (cnn.train(docs.repartition(n), labels, sample=10) for n in (1, 5))
+    assert all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+
+
+def test_verdicts_equal_a_plain_model(docs, rows):
+    """Votes and probability of op8 by a plain version of the rules and of expectation-maximisation."""
+    import math
+
+    def plain_votes(text):
+        n, chars, symbols, dups, repeats, _ = brute(text)
+        t = text or ""
+        upper, letters, bang, lines = sum("A" <= c <= "Z" for c in t), sum(c > "\x7f" or "A" <= c <= "Z" or "a" <= c <= "z" for c in t), t.count("!"), t.count("\n") + 1
+        pairs = [
+            (n >= 50, n < 20), (20 * repeats < n, 100 * repeats > 30 * n), (dups == 0, 10 * dups > 3 * lines), (50 * symbols < n, 10 * symbols > n),
+            (200 * symbols < chars, 50 * symbols > chars), (100 * letters > 92 * chars, 100 * letters < 85 * chars),
+            (3 * n <= chars <= 9 * n, chars < 2 * n or chars > 14 * n), (5 * upper < letters, 2 * upper > letters), (50 * bang < n, 5 * bang > n),
+        ]
+        return "".join("-" if bad else "+" if good else "0" for good, bad in pairs)
+
+    votes = [plain_votes(r[1]) for r in rows]
+    prior, good, bad, hold = 0.8, [0.97] * 9, [0.5] * 9, max(1.0, 0.1 * len(rows))
+
+    def posteriors():
+        out = []
+        for v in votes:
+            a, b = prior, 1 - prior
+            for k, c in enumerate(v):
+                a *= {"+": good[k], "-": 1 - good[k], "0": 1}[c]
+                b *= {"+": 1 - bad[k], "-": bad[k], "0": 1}[c]
+            out.append(a / (a + b))
+        return out
+
+    for _ in range(100):
+        p = posteriors()
+        old = [prior, *good, *bad]
+        prior = (sum(p) + 0.8 * hold) / (len(p) + hold)
+        for k in range(9):
+            said = [(x, v[k]) for x, v in zip(p, votes, strict=True) if v[k] != "0"]
+            good[k] = (sum(x for x, c in said if c == "+") + 0.97 * hold) / (sum(x for x, _ in said) + hold)
+            bad[k] = (sum(1 - x for x, c in said if c == "-") + 0.5 * hold) / (sum(1 - x for x, _ in said) + hold)
+        if max(abs(x - y) for x, y in zip(old, [prior, *good, *bad], strict=True)) < 1e-6:
+            break
+    want = sorted(((r[0], v, round(p, 6), not brute(r[1])[5] and p >= 0.5) for r, v, p in zip(rows, votes, posteriors(), strict=True)), key=repr)
+    assert sorted(((x.doc_id, x.votes, round(x.probability, 6), x.kept) for x in rules.judge(docs).collect()), key=repr) == want and math.isfinite(prior)
+
+
+def test_a_very_long_text_is_counted(spark):
+    text = "every window of eight words here is new " + " ".join(f"w{k}" for k in range(200_000)) + "\n#line\n#line"
+    (r,) = rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(text)
