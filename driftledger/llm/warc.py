@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, open_filesystem, write_bytes
+from .storage import bounded_batches, open_filesystem, staged, write_bytes
 
 #: Fixed values of the two formats.
 MEMBER = b"\x1f\x8b\x08"
@@ -63,6 +63,15 @@ class Found:
     reason: str = ""
     fields: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
+    size: int = 0  # bytes of the whole record or gap, unpacked
+
+
+class DamagedMember(ValueError):
+    """A member that fails; ``content`` is what could be unpacked before the fault."""
+
+    def __init__(self, reason: str, content: bytes):
+        super().__init__(reason)
+        self.content = content
 
 
 def unpack_member(data: bytes, at: int, most: int | None = None, step: int = 1 << 16) -> tuple[bytes, int]:
@@ -70,14 +79,31 @@ def unpack_member(data: bytes, at: int, most: int | None = None, step: int = 1 <
     d, out, pos, size = zlib.decompressobj(31), [], at, 0
     while not d.eof:
         if pos >= len(data):
-            raise zlib.error("truncated member")
-        out.append(d.decompress(data[pos : pos + step]))
+            raise DamagedMember("truncated member", b"".join(out))
+        part = data[pos : pos + step]
+        try:
+            out.append(d.decompress(part))
+        except zlib.error as e:
+            # The step held good bytes before the bad one: take them in ever smaller steps.
+            raise DamagedMember(str(e), b"".join([*out, _before_fault(data, at, pos, min(pos + step, len(data)), size)])) from None
         pos, size = pos + step, size + len(out[-1])
         if most is not None and size >= most:
             break
     return b"".join(out), min(pos, len(data)) - len(d.unused_data)
 
 
+def _before_fault(data: bytes, at: int, good: int, bad: int, size: int) -> bytes:
+    """What unpacks behind the first ``size`` bytes, up to the byte that fails: found by bytes after a fresh start at ``good``."""
+    d, out = zlib.decompressobj(31), []
+    try:
+        out.append(d.decompress(data[at:good])[size:])
+        for k in range(good, bad):
+            out.append(d.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """(fields, block, end) of the record there; ValueError says what check failed."""
     version = VERSION.match(data, at)
@@ -105,51 +131,83 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def _plain(data: bytes, start: int, whole: bool, where: tuple[int, int] | None = None) -> Iterator[Found]:
+def next_member(data: bytes, at: int) -> int:
+    """Where the next member starts that unpacks to a version line, or -1."""
+    while (at := data.find(MEMBER, at)) >= 0:
+        try:
+            start = unpack_member(data, at, most=10, step=512)[0]
+        except DamagedMember as e:
+            start = e.content
+        if VERSION.match(start):
+            return at
+        at += 1
+    return -1
+
+
+class _Next:
+    """The next member and the next version line from any place on, each sought once however many gaps ask for it."""
+
+    def __init__(self, data: bytes):
+        self.data, self.members, self.lines = data, (0, -2), (0, -2)
+
+    def member(self, at: int) -> int:
+        since, found = self.members
+        if found == -2 or at < since or 0 <= found < at:
+            self.members = (at, next_member(self.data, at))
+        return self.members[1]
+
+    def line(self, at: int) -> int:
+        since, found = self.lines
+        if found == -2 or at < since or 0 <= found < at:
+            m = VERSION.search(self.data, at)
+            self.lines = (at, m.start() if m else -1)
+        return self.lines[1]
+
+    def either(self, at: int, packed: bool = True) -> int:
+        return min(x for x in (self.line(at), self.member(at) if packed else -1, len(self.data)) if x >= 0)
+
+
+def _plain(data: bytes, start: int, whole: bool, where: tuple[int, int] | None = None, later: _Next | None = None) -> Iterator[Found]:
     """Records and gaps of unpacked bytes. ``where``: the member that they come from."""
-    at = start
+    at, later = start, later or _Next(data)
     while at < len(data):
         if not whole and data.startswith(MEMBER, at):
             return
         try:
             fields, block, end = parse_record(data, at)
-            yield Found("record", *(where or (at, end)), at if where else 0, "", fields, block)
+            yield Found("record", *(where or (at, end)), at if where else 0, "", fields, block, end - at)
         except ValueError as e:
-            later = VERSION.search(data, at + 1)
-            member = -1 if whole else next_member(data, at + 1)
-            end = min(x for x in (later.start() if later else -1, member, len(data)) if x >= 0)
-            yield Found("gap", *(where or (at, end)), at if where else 0, str(e))
+            end = later.either(at + 1, packed=not whole)
+            yield Found("gap", *(where or (at, end)), at if where else 0, str(e), size=end - at)
         at = end
 
 
-def next_member(data: bytes, at: int) -> int:
-    """Where the next member starts that unpacks to a version line, or -1."""
-    while (at := data.find(MEMBER, at)) >= 0:
-        try:
-            if VERSION.match(unpack_member(data, at, most=10)[0]):
-                return at
-        except zlib.error:
-            pass
-        at += 1
-    return -1
-
-
 def salvage(data: bytes) -> Iterator[Found]:
-    """Every record that can be read from an archive, packed by record, by several, or not at all, and every gap."""
-    at = 0
+    """Every record that can be read from an archive, packed by record, by several, or not at all, and every gap.
+
+    Of a damaged member, what unpacks before the fault is searched too, and its records count if they have a digest that
+    agrees; the rest of it, up to the next member or version line, is a gap. An archive is read whole, 2 GB at most.
+    """
+    at, later = 0, _Next(data)
     while at < len(data):
         if data.startswith(MEMBER, at):
             try:
                 content, end = unpack_member(data, at)
                 yield from _plain(content, 0, True, (at, end))
-            except zlib.error as e:
-                later = VERSION.search(data, at + 1)
-                end = min(x for x in (next_member(data, at + 1), later.start() if later else -1, len(data)) if x >= 0)
-                yield Found("gap", at, end, 0, f"damaged member: {e}")
+            except DamagedMember as e:
+                end, rest = later.either(at + 1), len(e.content)
+                for x in _plain(e.content, 0, True, (at, end)):
+                    if x.kind == "record" and not x.fields.get("warc-block-digest", "").startswith("sha256:"):
+                        x = Found("gap", at, end, x.inner, "no digest in a damaged member", size=x.size)
+                    if x.kind == "gap" and x.inner + x.size == len(e.content):
+                        rest = x.inner  # cut short by the fault
+                    else:
+                        yield x
+                yield Found("gap", at, end, rest, f"damaged member: {e}")
             at = end
             continue
         end = at
-        for x in _plain(data, at, False):
+        for x in _plain(data, at, False, later=later):
             yield x
             end = x.end
         at = max(end, at + 1)
@@ -206,17 +264,21 @@ def _archive_rows(folder: str, archive_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_bytes: int = 16 << 20) -> int:
+def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_bytes: int = 16 << 20, most_bytes: int = 8 << 20) -> int:
     """Write one record for each page, each its own gzip member, and return the number of archives.
 
     Of equal payloads of at least ``least`` bytes, the page with the smallest page_id is a response and the others
     revisit it. A null html is empty; a null page_id is never the smallest, and its record has no number. Rows that
-    repeat the smallest page_id are responses each. Extra columns are not read.
+    repeat the smallest page_id are responses each. Extra columns are not read. Repeated payloads are broadcast by their
+    digests if these take at most ``most_bytes``.
     """
     bounded_batches(pages.sparkSession)
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     page = page.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    first = page.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    several = page.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = staged(several.where("n > 1").select("digest", "first_id"), "repeated-payloads")
+    if first.count() * 100 <= most_bytes:  # then pages stay where they are; else both sides are dealt by digest
+        first = F.broadcast(first)
     rows = page.join(first, "digest", "left").select("page_id", "url", "html", "first_id").sortWithinPartitions("page_id", "url")
     return sum(r.files for r in rows.mapInArrow(_archive_rows(folder, archive_bytes), "files long, bytes long").collect())
 

@@ -38,3 +38,37 @@ def test_documents(docs, rows, empty, tokenizer):
     assert found == sorted(want, key=repr)
     assert token_counts(empty, tokenizer[0]).count() == 0
     assert token_counts(docs, pieces=("the", "##ing")).count() == len(rows)
+
+
+def test_the_query_equals_greedy_matching_over_the_vocabulary(spark, tokenizer):
+    """Whole texts against a plain search for the longest piece, piece after piece."""
+    import json
+    from functools import lru_cache
+
+    from driftledger.llm import queries
+    from driftledger.llm.tokens import byte_alphabet
+
+    with open(tokenizer[0], encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    table = byte_alphabet()
+    pieces = {bytes(table[c] for c in p) for p in vocabulary if all(c in table for c in p)}
+    longest, n_of = max(map(len, pieces)), lru_cache(None)(lambda w: plain(w))
+
+    def plain(word):
+        n = 0
+        while word:
+            k = next(k for k in range(min(len(word), longest), 0, -1) if word[:k] in pieces)
+            word, n = word[k:], n + 1
+        return n
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in queries.table(spark, folder, "documents").collect()}
+    for r in queries.op9_token_counts(spark, folder).collect():
+        words = (texts[r.doc_id] or "").encode().split()
+        assert (r.n_words, r.n_pieces) == (len(words), sum(n_of(b" " + w) for w in words))
+
+
+def test_a_very_long_text_and_a_very_long_word(spark, tokenizer):
+    text = "word " * 500_000 + "x" * 1_000_000
+    (r,) = token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer[0]).collect()
+    assert r.n_words == 500_001 and r.n_pieces > 500_001
