@@ -13,12 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, staged
 from .tokens import encoder
 
+#: Turns are counted up to here; salts are what is left of a turn on division by their number.
+MOST_SALTS = 1 << 16
 #: A pattern is what a sequence holds: lengths, longest first, and how many sequences hold it.
 Pattern = tuple[tuple[int, ...], int]
 
@@ -142,6 +145,7 @@ def _piece_rows(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, 500_000)  # leaves room for what other stages keep in a worker
         end, width = np.array([end_id], e.dtype).tobytes(), e.dtype.itemsize
+        turn = TaskContext.get().partitionId() * 7919  # tasks begin their turns at different salts
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -160,6 +164,9 @@ def _piece_rows(path: str, end_id: int, capacity: int, with_ids: bool):
                 if with_ids:
                     columns.append(pa.array(out["ids"], pa.binary()))
                     names.append("ids")
+                columns.append(pa.array((turn + np.arange(len(out["piece"]))) % MOST_SALTS, pa.int64()))
+                names.append("turn")
+                turn += len(out["piece"])
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -179,18 +186,21 @@ def _place_rows(table: dict[str, np.ndarray], before: np.ndarray):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, salts: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, rows_each: int = 1 << 20) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): a row for each piece of each document.
 
-    Documents over the capacity are cut into full pieces behind a shorter first one. The driver sees a count for each
-    length and salt, at most ``capacity * salts`` numbers; salts split a length that a third of all pieces may share.
-    Null text: empty, which is the end id alone. Rows with one doc_id are packed each for itself; no documents give no
-    rows; extra columns are not read.
+    Documents over the capacity are cut into full pieces behind a shorter first one. Pieces of one length, which a third
+    of all may share, are split by salts that each task hands out in turn, so that copies and repeated rows spread too:
+    256 of them, or more so that one has at most about ``rows_each`` rows. The driver sees a count for each length and
+    salt. Null text: empty, which is the end id alone. Rows with one doc_id are packed each for itself; no documents give
+    no rows; extra columns are not read.
     """
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_piece_rows(tokenizer_path, end_id, capacity, with_ids), schema)
-    pieces = staged(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_piece_rows(tokenizer_path, end_id, capacity, with_ids), schema + ", turn long")
+    pieces = staged(rows, "pieces")
+    salts = min(MOST_SALTS, max(256, -(-pieces.count() // rows_each)))
+    pieces = pieces.withColumn("salt", (F.col("turn") % salts).cast("int")).drop("turn")
     found = pieces.groupBy("length", "salt").count().toPandas()
     counts = np.zeros((capacity + 1, salts), np.int64)
     counts[found["length"].to_numpy(np.int64), found["salt"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,19 +76,29 @@ def deal_keys(spark: SparkSession) -> list[int]:
     return [r.id for r in found.orderBy("at").collect()]
 
 
+def shard_of(doc_ids: np.ndarray, bounds: np.ndarray, turn: int) -> np.ndarray:
+    """The shard of each doc_id: the first whose bound, its last doc_id, is not below it.
+
+    A doc_id that is the bound of several shards fills these alone, and its rows are dealt to them in turn.
+    """
+    first = np.searchsorted(bounds, doc_ids, side="left")
+    several = np.maximum(np.searchsorted(bounds, doc_ids, side="right") - first, 1)
+    return first + (turn + np.arange(len(doc_ids))) % several
+
+
 def _encode_rows(path: str, end_id: int, bounds: np.ndarray, keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         end, total = np.array([end_id], e.dtype).tobytes(), np.zeros(e.size, np.int64)
-        names = ["doc_id", "ids", "shard", "deal", "counts"]
+        names, turn = ["doc_id", "ids", "shard", "deal", "counts"], TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [x + end for x in e.encode(part.column(1).to_pylist())]
                 total += np.bincount(np.frombuffer(b"".join(ids), e.dtype), minlength=e.size)
                 known = np.array([np.iinfo(np.int64).min if x is None else x for x in part.column(0).to_pylist()], np.int64)
-                shard = np.searchsorted(bounds, known)
-                columns = [part.column(0), pa.array(ids, pa.binary()), pa.array(shard, pa.int64()), pa.array(keys[shard], pa.int64())]
+                shard, turn = shard_of(known, bounds, turn), turn + len(known)
+                columns = [part.column(0), pa.array(ids, pa.binary()), pa.array(shard, pa.int64()), pa.array(keys[shard % len(keys)], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.binary())], names)
         if total.any():
             no_id, counts = pa.nulls(1, pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())
@@ -96,18 +107,23 @@ def _encode_rows(path: str, end_id: int, bounds: np.ndarray, keys: np.ndarray):
     return run
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, ids, shard, deal, counts): each whole text's ids and the end id, little-endian, unsigned 16-bit where the vocabulary fits.
 
-    Shards are ranges of doc_id between approximate quantiles of all of them, null doc_ids in the first; ``deal`` is what
-    hashing deals a shard out by. Each partition ends with a row of its own that holds how often every id occurred in it, in ``counts``.
+    Shards are ranges of doc_id between approximate quantiles of all of them, null doc_ids in the first: as many as the
+    shuffle has partitions, or more so that one has about ``shard_bytes`` of text. A doc_id, or null, that many rows share
+    fills several shards. ``deal`` is what hashing deals a shard out by. Each partition ends with a row of its own that
+    holds how often every id occurred in it, in ``counts``.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = deal_keys(docs.sparkSession)
-    steps = [k / len(keys) for k in range(1, len(keys))]
-    found = rows.agg(F.percentile_approx("doc_id", steps, 10_000).alias("q")).first().q if steps else None
-    bounds = np.unique(np.array(found or [], np.int64))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    shards = max(len(keys), -(-size // shard_bytes))
+    steps = [k / shards for k in range(1, shards)]
+    known = F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min))
+    found = rows.agg(F.percentile_approx(known, steps, max(10_000, 4 * shards)).alias("q")).first().q if steps else None
+    bounds = np.sort(np.array(found or [], np.int64))
     return rows.mapInArrow(_encode_rows(tokenizer_path, end_id, bounds, np.array(keys)), "doc_id long, ids binary, shard long, deal long, counts binary")
 
 
@@ -209,7 +225,8 @@ def write_token_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     Texts are encoded and ids counted once; the ids are staged, then dealt out by ranges of doc_id and written in order. The
     driver sees one row per id of the vocabulary and one per shard. Null text: empty. Rows with one doc_id stand side by
-    side, in order of their ids; null doc_ids come first. No documents: no shard files. Extra columns are not read.
+    side, in order of their ids in each shard; null doc_ids come first. No documents: no shard files. Extra columns are
+    not read.
     """
     spark = docs.sparkSession
     e = encoder(tokenizer_path)
@@ -275,7 +292,7 @@ def _read_rows(ranked: np.ndarray, shard_start: dict[int, int], with_ids: bool):
 def read_token_store(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids as little-endian unsigned 32-bit]) of every document, from the files.
 
-    Starts need the ids of earlier shards only: one number a shard, as many as the shuffle has partitions.
+    Starts need the ids of earlier shards only: one number a shard.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     shards = json.loads(read_bytes(folder, "manifest.json"))["shards"]

@@ -57,3 +57,36 @@ def test_damage_is_seen(spark, docs, tokenizer):
     file.write_bytes(raw)
     with pytest.raises(Exception, match="damaged block"):
         read_token_store(spark, folder).collect()
+
+
+def test_a_doc_id_that_most_rows_share_fills_several_shards(spark, tokenizer):
+    path, encode = tokenizer
+    rows = [(None, "no id")] * 80 + [(7, "hot")] * 150 + [(7, "other text")] * 20 + [(k, f"text {k}") for k in range(40)]
+    folder = new_path(spark, "test-store")
+    manifest = write_token_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder, path)
+    assert max(docs for _, _, docs, _ in manifest["shards"]) <= 110
+    found = sorted(read_token_store(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:], strict=False)) and found[0].start == 0
+    crc = lambda text: zlib.crc32(np.array(encode(text) + [0], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in found) == sorted((str(d), crc(t)) for d, t in rows)
+
+
+def test_more_shards_than_partitions(spark, docs, rows, tokenizer, monkeypatch):
+    from driftledger.llm import token_store
+
+    folder = new_path(spark, "test-store")
+    monkeypatch.setattr(token_store.encode_documents, "__defaults__", (0, 2000))
+    manifest = write_token_store(docs, folder, tokenizer[0])
+    found = sorted(read_token_store(spark, folder).collect(), key=lambda r: r.start)
+    assert len(manifest["shards"]) > 4 and len(found) == len(rows)
+    assert [r.doc_id for r in found] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+
+
+def test_a_very_long_text(spark, tokenizer):
+    path, encode = tokenizer
+    text, folder = "Some long text, d'accord \u2014 \u4e2d\u6587 's. " * 40_000, new_path(spark, "test-store")
+    write_token_store(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), folder, path)
+    first, second = sorted(read_token_store(spark, folder).collect(), key=lambda r: r.start)
+    ids = encode(text) + [0]
+    assert (first.n_tokens, first.ids_crc32, second.start) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids))
