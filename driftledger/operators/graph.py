@@ -1,46 +1,80 @@
-"""Graphs of models and of columns: closures, levels and what follows from them.
+"""Graphs of models and of columns: what is reached from where, levels, and what follows from them.
 
-Edges are project metadata. A closure is one recursive query, bounded in depth, which also ends it on cycles.
+Walks go on, one step of all origins at a time, until a step finds nothing new: distinct pairs are kept, not paths, so that
+layered graphs do not multiply and cycles end. Each step is written to the checkpoint folder before the next one reads it.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 10
-
-
-def closure(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(ancestor, descendant, depth): every reachable pair with its shortest distance."""
-    found = edges.sparkSession.sql(
-        f"""with recursive walk(ancestor, descendant, depth) as (
-              select parent, child, 1 from {{edges}}
-              union all select w.ancestor, e.child, w.depth + 1 from walk w join {{edges}} e on w.descendant = e.parent where w.depth < {depth})
-            select ancestor, descendant, depth from walk""",
-        edges=edges.select("parent", "child").distinct(),
-    )
-    return found.groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth"))
-
-
-def levels(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(name, level): the longest chain that leads to a node, zero for roots."""
-    nodes = edges.select(F.col("parent").alias("name")).union(edges.select("child")).distinct()
-    longest = edges.sparkSession.sql(
-        f"""with recursive walk(name, level) as (
-              select distinct child, 1 from {{edges}} where parent not in (select child from {{edges}})
-              union all select e.child, w.level + 1 from walk w join {{edges}} e on w.name = e.parent where w.level < {depth})
-            select name, max(level) as level from walk group by name""",
-        edges=edges.select("parent", "child").distinct(),
-    )
-    return nodes.join(longest, "name", "left").select("name", F.coalesce("level", F.lit(0)).alias("level"))
-
-
-def column_closure(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The same between columns, over value edges (src_model, src_col, dst_model, dst_col)."""
-    node = lambda m, c: F.concat_ws(".", m, c)
-    pairs = closure(edges.where("kind = 'value'").select(node("src_model", "src_col").alias("parent"), node("dst_model", "dst_col").alias("child")), depth)
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frame, computed and written to the folder of spark.checkpoint.dir; a temporary one only on a single machine."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="driftledger-"))
+    return df.checkpoint()
+
+
+def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(origin, name, depth): what each start (name) leads to by edges (parent, child), with the shortest distance.
+
+    Without starts, from every node. A node on a cycle reaches itself.
+    """
+    edges = settled(edges.select("parent", "child").distinct())
+    first = edges if starts is None else edges.join(starts.select(F.col("name").alias("parent")).distinct(), "parent", "left_semi")
+    step = found = settled(first.select(F.col("parent").alias("origin"), F.col("child").alias("name"), F.lit(1).alias("depth")))
+    while not step.isEmpty():
+        further = step.join(edges, F.col("name") == F.col("parent")).select("origin", F.col("child").alias("name"), (F.col("depth") + 1).alias("depth")).distinct()
+        step = settled(further.join(found.select("origin", "name"), ["origin", "name"], "left_anti"))
+        found = found.unionByName(step)
+    return found
+
+
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+
+
+def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(ancestor, descendant, depth): every reachable pair, or those below the starts."""
+    return reach(edges, starts).select(F.col("origin").alias("ancestor"), F.col("name").alias("descendant"), "depth")
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(name, level): the longest chain that leads to a node, zero for roots; null on and behind a cycle, which has none."""
+    left = settled(edges.select("parent", "child").distinct())
+    waiting = settled(left.select(F.col("parent").alias("name")).union(left.select("child")).distinct())
+    placed, level = None, 0
+    while True:
+        ready = settled(waiting.join(left.select(F.col("child").alias("name")).distinct(), "name", "left_anti"))
+        if ready.isEmpty():
+            rest = waiting.select("name", F.lit(None).cast("int").alias("level"))
+            return rest if placed is None else placed.unionByName(rest)
+        one = ready.select("name", F.lit(level).alias("level"))
+        placed = one if placed is None else placed.unionByName(one)
+        waiting = settled(waiting.join(ready, "name", "left_anti"))
+        left = settled(left.join(ready.select(F.col("name").alias("parent")), "parent", "left_anti"))
+        level += 1
+
+
+def column_node(model: str, column: str):
+    return F.concat_ws(".", model, column)
+
+
+def value_edges(edges: DataFrame) -> DataFrame:
+    """(parent, child) between columns as model.column, of edges (src_model, src_col, dst_model, dst_col, kind) that pass a value on."""
+    return edges.where("kind = 'value'").select(column_node("src_model", "src_col").alias("parent"), column_node("dst_model", "dst_col").alias("child"))
+
+
+def column_reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(src_model, src_col, dst_model, dst_col, depth) over value edges, from the starts (model, col) or from every column."""
+    pairs = reach(value_edges(edges), starts if starts is None else starts.select(column_node("model", "col").alias("name")))
     split = lambda c, n: F.split_part(c, F.lit("."), F.lit(n))
-    return pairs.select(
-        split("ancestor", 1).alias("src_model"), split("ancestor", 2).alias("src_col"), split("descendant", 1).alias("dst_model"), split("descendant", 2).alias("dst_col"), "depth"
-    )
+    return pairs.select(split("origin", 1).alias("src_model"), split("origin", 2).alias("src_col"), split("name", 1).alias("dst_model"), split("name", 2).alias("dst_col"), "depth")

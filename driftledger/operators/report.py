@@ -33,11 +33,17 @@ def sarif(findings: DataFrame, run_id: int) -> DataFrame:
     return own.agg(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("report"))
 
 
-def markdown(ranked: DataFrame, most: int = 200) -> str:
-    """The first findings of a ranked frame as a table; the one report that is made on the driver."""
-    rows = ranked.orderBy("rank").limit(most).select("rank", "rule_id", "severity", "model_name", "note").collect()
+def markdown(ranked: DataFrame, most: int | None = None) -> str:
+    """The findings of a ranked frame as a table, or the first so many and a line that says how many follow.
+
+    The one report that is made on the driver, row by row.
+    """
+    ordered = ranked.orderBy("rank")
+    rows = (ordered if most is None else ordered.limit(most)).select("rank", "rule_id", "severity", "model_name", "note").toLocalIterator()
     lines = ["| rank | rule | severity | model | note |", "|-|-|-|-|-|"]
-    return "\n".join([*lines, *("| " + " | ".join(str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in rows)])
+    lines += ["| " + " | ".join(str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in rows]
+    more = ranked.count() - most if most is not None else 0
+    return "\n".join([*lines, *([f"and {more} more"] if more > 0 else [])])
 
 
 def redacted(findings: DataFrame, salt: str) -> DataFrame:
@@ -46,8 +52,8 @@ def redacted(findings: DataFrame, salt: str) -> DataFrame:
 
 
 def save(findings: DataFrame, path: str) -> None:
-    """Append a run's findings to the store, one partition a run."""
-    findings.write.mode("append").partitionBy("run_id").parquet(path)
+    """Write runs' findings to the store, one partition a run; a run that is written again replaces its own."""
+    findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def drop_run_databases(spark, token: str) -> list[str]:

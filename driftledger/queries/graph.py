@@ -1,163 +1,195 @@
-"""Graph queries over the ledger's models and columns."""
+"""Graph queries over a project of models and columns that is made from the parts and suppliers.
+
+Models stand in twelve layers; a model reads two of the layer before it, some read one two layers up. Each has three
+columns, which take a value of a parent's column or only refer to it. The SQL walks the same edges recursively.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..plans.ledger import EDGES
+from ..sources.tables import table
 from . import query
 
+E = """(select 'm' || (p_partkey - 1) as parent, 'm' || p_partkey as child from part where p_partkey % 12 > 0
+union select 'm' || (p_partkey - 1 - 12 * ((p_partkey * 31 + p_size) % 5)), 'm' || p_partkey from part where p_partkey % 12 > 0
+union select 'm' || (p_partkey - 2), 'm' || p_partkey from part where p_partkey % 12 > 1 and p_size % 5 = 0)"""
+C = f"""(select parent as src_model, 'c' || ((j + p_size) % 3) as src_col, child as dst_model, 'c' || j as dst_col, case when (p_partkey + j) % 4 = 0 then 'reference' else 'value' end as kind
+from {E} e join part on child = 'm' || p_partkey, (select unnest([0, 1, 2]) as j))"""
+M = "(select 'x' || ((s_suppkey - 1) - (s_suppkey - 1) % 8 // 2) as parent, 'x' || s_suppkey as child from supplier where s_suppkey % 8 > 0 union select 'x' || (p_partkey % 64), 'm' || p_partkey from part where p_size % 10 = 0)"
+X = "(select 'e' || s_suppkey as exposure, 'm' || (s_suppkey * 17) as model from supplier)"
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    parents = F.array_compact(F.array(
+        F.when(k % 12 > 0, k - 1), F.when(k % 12 > 0, k - 1 - 12 * ((k * 31 + F.col("p_size")) % 5)), F.when((k % 12 > 1) & (F.col("p_size") % 5 == 0), k - 2)
+    ))
+    return part.select(F.explode(F.array_distinct(parents)).alias("p"), _named("m", k).alias("child")).select(_named("m", F.col("p")).alias("parent"), "child")
 
-def _values(rows: tuple, *names: str) -> str:
-    return "(values " + ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows) + f") t({', '.join(names)})"
 
+def _named(letter: str, number: Column) -> Column:
+    return F.concat(F.lit(letter), number.cast("string"))
 
-E = _values(EDGES, "parent", "child")
-#: Columns that flow from model to model; a reference is read without its value being passed on.
-COLUMN_EDGES = (
-    ("stg_entries", "amount_minor", "entries_converted", "amount_minor", "value"), ("stg_entries", "amount_minor", "entries_converted", "amount_usd_e4", "value"),
-    ("stg_fx_rates", "rate_pct", "entries_converted", "amount_usd_e4", "value"), ("stg_fx_rates", "rate_period", "entries_converted", "period_month", "reference"),
-    ("stg_entries", "period_month", "entries_converted", "period_month", "value"), ("stg_accounts", "entity_code", "entries_converted", "entity_code", "value"),
-    ("entries_converted", "amount_usd_e4", "revenue_recognized", "amount_usd_e4", "value"), ("entries_converted", "amount_minor", "revenue_recognized", "amount_minor", "value"),
-    ("stg_contracts", "recognition_method", "revenue_recognized", "recognition", "value"), ("stg_accounts", "is_intercompany", "revenue_recognized", "amount_usd_e4", "reference"),
-    ("revenue_recognized", "amount_usd_e4", "fct_revenue", "revenue_usd_e4", "value"), ("revenue_recognized", "recognition", "fct_revenue", "recognition", "value"),
-    ("fct_revenue", "revenue_usd_e4", "fct_revenue_reported", "revenue_cents", "value"), ("revenue_recognized", "amount_usd_e4", "fct_regulatory_summary", "revenue_usd_e4", "value"),
-    ("revenue_recognized", "amount_minor", "fct_regulatory_summary", "amount_minor", "value"), ("entries_converted", "amount_usd_e4", "account_activity", "amount_usd_e4", "value"),
-    ("account_activity", "amount_usd_e4", "fct_account_period_summary", "net_usd_e4", "value"), ("stg_entries", "is_reversal", "account_activity", "activity_type", "reference"),
-)
-C = _values(COLUMN_EDGES, "src_model", "src_col", "dst_model", "dst_col", "kind")
-MACROS = (("money", "minor_units"), ("minor_units", "signed"), ("signed", "stg_entries"), ("money", "fct_revenue_reported"), ("period", "stg_entries"), ("period", "stg_fx_rates"), ("label_case", "dim_entities"))
-M = _values(MACROS, "parent", "child")
-EXPOSURES = (("regulator_return", "fct_regulatory_summary"), ("revenue_dashboard", "fct_revenue_reported"), ("entity_list", "dim_entity_contract"))
-X = _values(EXPOSURES, "exposure", "model")
-BLOCKED = ("stg_contracts",)
-WRITTEN_READS = (("fct_revenue", "revenue_recognized"), ("fct_revenue", "raw_fx_rates"), ("dim_entities", "stg_accounts"), ("account_activity", "stg_accounts"))
-MOVED = ("stg_contracts", "revenue_recognized", "fct_revenue", "dim_accounts", "fct_regulatory_summary")
 
+def column_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(_named("m", F.col("p_partkey")).alias("child"), "p_partkey", "p_size")
+    rows = edges(spark, sf_dir).join(part, "child").withColumn("j", F.explode(F.array(*map(F.lit, range(3)))))
+    kind = F.when((F.col("p_partkey") + F.col("j")) % 4 == 0, "reference").otherwise("value")
+    return rows.select(F.col("parent").alias("src_model"), _named("c", (F.col("j") + F.col("p_size")) % 3).alias("src_col"), F.col("child").alias("dst_model"), _named("c", F.col("j")).alias("dst_col"), kind.alias("kind"))
 
-def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "parent string, child string")
 
+def macro_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, k = F.col("s_suppkey") - 1, F.col("p_partkey")
+    own = table(spark, sf_dir, "supplier").where("s_suppkey % 8 > 0").select(_named("x", s - F.floor((s % 8) / 2)).alias("parent"), _named("x", F.col("s_suppkey")).alias("child"))
+    return own.union(table(spark, sf_dir, "part").where("p_size % 10 = 0").select(_named("x", k % 64), _named("m", k)))
 
-def column_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COLUMN_EDGES, "src_model string, src_col string, dst_model string, dst_col string, kind string")
 
+def models(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
+    """(name) of the models whose part meets the condition."""
+    return table(spark, sf_dir, "part").where(condition).select(_named("m", F.col("p_partkey")).alias("name"))
 
-def _names(spark: SparkSession, values: tuple[str, ...], column: str = "name") -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"{column} string")
 
+def _models(condition: str) -> str:
+    return f"(select 'm' || p_partkey as name from part where {condition})"
 
-def _closure_sql(values: str) -> str:
-    return f"e as (select * from {values}), walk(ancestor, descendant, depth) as (select parent, child, 1 from e union all select w.ancestor, e.child, w.depth + 1 from walk w join e on w.descendant = e.parent where w.depth < 10), cl as (select ancestor, descendant, min(depth) as depth from walk group by all)"
 
+def _walk(edge_sql: str, starts: str | None = None, back: bool = False) -> str:
+    """cl(origin, name, depth) by recursion over distinct rows."""
+    a, b = ("child", "parent") if back else ("parent", "child")
+    first = f"select {a} as origin, {b} as name, 1 as depth from e" + (f" where {a} in (select name from {starts})" if starts else "")
+    return f"with recursive e as (select * from {edge_sql}), walk(origin, name, depth) as ({first} union select w.origin, e.{b}, w.depth + 1 from walk w join e on w.name = e.{a}), cl as (select origin, name, min(depth) as depth from walk group by all)"
 
-CLOSURE = f"with recursive {_closure_sql(E)}"
-COLUMNS = f"with recursive ce as (select * from {C}), {_closure_sql('(select src_model || chr(46) || src_col as parent, dst_model || chr(46) || dst_col as child from ce where kind = ' + chr(39) + 'value' + chr(39) + ')')}, cc as (select split_part(ancestor, '.', 1) as src_model, split_part(ancestor, '.', 2) as src_col, split_part(descendant, '.', 1) as dst_model, split_part(descendant, '.', 2) as dst_col, depth from cl)"
 
+V = f"(select src_model || '.' || src_col as parent, dst_model || '.' || dst_col as child from {C} where kind = 'value')"
+_CC = "cc as (select split_part(origin, '.', 1) as src_model, split_part(origin, '.', 2) as src_col, split_part(name, '.', 1) as dst_model, split_part(name, '.', 2) as dst_col, depth from cl)"
+CHANGED, GOVERNED, DEPENDENT, BLOCKED, STAMPED, MOVED = "p_size = 50", "p_size = 1", "p_size = 7", "p_size = 13", "p_size in (3, 4)", "p_size % 6 = 0"
 
-@query("graph_downstream", f"{CLOSURE} select descendant as name, depth from cl where ancestor = 'stg_entries'")
+
+@query("graph_downstream", f"{_walk(E, _models(CHANGED))} select * from cl")
 def graph_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(edges(spark)).where("ancestor = 'stg_entries'").select(F.col("descendant").alias("name"), "depth")
+    """What is behind each changed model."""
+    return graph.reach(edges(spark, sf_dir), models(spark, sf_dir, CHANGED))
 
 
-@query("graph_ancestors", f"{CLOSURE} select ancestor as name, depth from cl where descendant = 'fct_regulatory_summary'")
+@query("graph_ancestors", f"{_walk(E, _models(GOVERNED), True)} select * from cl")
 def graph_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(edges(spark)).where("descendant = 'fct_regulatory_summary'").select(F.col("ancestor").alias("name"), "depth")
+    """What each governed model is made from."""
+    return graph.reach(graph.reversed_edges(edges(spark, sf_dir)), models(spark, sf_dir, GOVERNED))
 
 
-@query("graph_macro_closure", f"with recursive {_closure_sql(M)} select ancestor as macro, descendant as caller from cl where descendant in (select child from {E})")
+@query("graph_macro_closure", f"{_walk(M)} select origin as macro, name as caller, depth from cl where origin[1] = 'x' and name[1] = 'm'")
 def graph_macro_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models that a macro reaches through other macros."""
-    callers = graph.closure(spark.createDataFrame(MACROS, "parent string, child string")).select(F.col("ancestor").alias("macro"), F.col("descendant").alias("caller"))
-    return callers.join(edges(spark).select(F.col("child").alias("caller")).distinct(), "caller", "left_semi").select("macro", "caller")
+    """Models that a macro reaches, directly or through other macros."""
+    found = graph.reach(macro_edges(spark, sf_dir)).where("origin like 'x%' and name like 'm%'")
+    return found.select(F.col("origin").alias("macro"), F.col("name").alias("caller"), "depth")
 
 
-@query("graph_taint", f"{CLOSURE}, t as (select child from {M} where parent = 'label_case') select child as model, true as direct from t union all select descendant, false from cl where ancestor in (select child from t)")
+@query("graph_taint", f"{_walk(E, _models(DEPENDENT))} select name as model, max(direct) = 1 as direct from (select name, 1 as direct from {_models(DEPENDENT)} union all select name, 0 from cl) group by name")
 def graph_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models whose text is built from query results, directly or through what they read."""
-    direct = spark.createDataFrame(MACROS, "parent string, child string").where("parent = 'label_case'").select(F.col("child").alias("model"))
-    reached = graph.closure(edges(spark)).join(direct, F.col("ancestor") == F.col("model")).select(F.col("descendant").alias("model"))
-    return direct.withColumn("direct", F.lit(True)).union(reached.distinct().withColumn("direct", F.lit(False)))
+    direct = models(spark, sf_dir, DEPENDENT)
+    reached = graph.reach(edges(spark, sf_dir), direct).select("name", F.lit(False).alias("direct"))
+    return direct.withColumn("direct", F.lit(True)).union(reached).groupBy(F.col("name").alias("model")).agg(F.bool_or("direct").alias("direct"))
 
 
-@query("graph_topo_level", f"with recursive e as (select * from {E}), walk(name, level) as (select distinct child, 1 from e where parent not in (select child from e) union all select e.child, w.level + 1 from walk w join e on w.name = e.parent where w.level < 10) select n.name, coalesce(max(level), 0) as level from (select parent as name from e union select child from e) n left join walk w on n.name = w.name group by n.name")
+@query("graph_topo_level", f"with recursive e as (select * from {E}), walk(name, level) as (select parent, 0 from e where parent not in (select child from e) union select e.child, w.level + 1 from walk w join e on w.name = e.parent) select name, max(level) as level from walk group by name")
 def graph_topo_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.levels(edges(spark))
+    return graph.levels(edges(spark, sf_dir))
 
 
-@query("graph_blocked_nodes", f"{CLOSURE} select name, name in ('stg_contracts') as is_root from (select 'stg_contracts' as name union select descendant from cl where ancestor = 'stg_contracts')")
+@query("graph_blocked_nodes", f"{_walk(E, _models(BLOCKED))} select name, max(root) = 1 as is_root from (select name, 1 as root from {_models(BLOCKED)} union all select name, 0 from cl) group by name")
 def graph_blocked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What cannot be built because something that it reads cannot."""
-    roots = _names(spark, BLOCKED)
-    reached = graph.closure(edges(spark)).join(roots, F.col("ancestor") == F.col("name"), "left_semi").select(F.col("descendant").alias("name"))
-    return roots.union(reached).distinct().select("name", F.col("name").isin(*BLOCKED).alias("is_root"))
+    roots = models(spark, sf_dir, BLOCKED)
+    reached = graph.reach(edges(spark, sf_dir), roots).select("name", F.lit(False).alias("is_root"))
+    return roots.withColumn("is_root", F.lit(True)).union(reached).groupBy("name").agg(F.bool_or("is_root").alias("is_root"))
 
 
-@query("graph_exposure_reach", f"{CLOSURE}, x as (select * from {X}) select exposure, count(distinct ancestor) as affected_by, bool_or(ancestor = 'stg_fx_rates') as reached_by_rates from x join cl on x.model = cl.descendant group by exposure")
+@query("graph_exposure_reach", f"{_walk(E, f'(select model as name from {X})', True)} select exposure, count(cl.name) as affected_by, count(case when cl.name in (select name from {_models(CHANGED)}) then 1 end) > 0 as reached_by_change from {X} x left join cl on x.model = cl.origin group by exposure")
 def graph_exposure_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exposures = spark.createDataFrame(EXPOSURES, "exposure string, model string")
-    joined = exposures.join(graph.closure(edges(spark)), F.col("model") == F.col("descendant"))
-    return joined.groupBy("exposure").agg(F.count_distinct("ancestor").alias("affected_by"), F.bool_or(F.col("ancestor") == "stg_fx_rates").alias("reached_by_rates"))
+    """How many models stand behind each exposure, and whether a changed one does."""
+    k = F.col("s_suppkey")
+    exposures = table(spark, sf_dir, "supplier").select(_named("e", k).alias("exposure"), _named("m", k * 17).alias("origin"))
+    above = graph.reach(graph.reversed_edges(edges(spark, sf_dir)), exposures.select(F.col("origin").alias("name")))
+    above = above.join(models(spark, sf_dir, CHANGED).withColumn("changed", F.lit(True)), "name", "left")
+    return exposures.join(above, "origin", "left").groupBy("exposure").agg(F.count("name").alias("affected_by"), F.coalesce(F.bool_or("changed"), F.lit(False)).alias("reached_by_change"))
+
+
+def _roots(condition: str) -> str:
+    return f"(select name || '.c0' as name from {_models(condition)})"
 
 
-@query("graph_volatile_columns", f"{COLUMNS} select dst_model as model, dst_col as col from cc where src_model = 'stg_fx_rates' and src_col = 'rate_pct' union select 'stg_fx_rates', 'rate_pct'")
+def _columns(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
+    return models(spark, sf_dir, condition).select(F.col("name").alias("model"), F.lit("c0").alias("col"))
+
+
+@query("graph_volatile_columns", f"{_walk(V, _roots(STAMPED))}, {_CC} select dst_model as model, dst_col as col from cc union select name, 'c0' from {_models(STAMPED)}")
 def graph_volatile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that a volatile one flows into."""
-    reached = graph.column_closure(column_edges(spark)).where("src_model = 'stg_fx_rates' and src_col = 'rate_pct'").select(F.col("dst_model").alias("model"), F.col("dst_col").alias("col"))
-    return reached.union(spark.createDataFrame([("stg_fx_rates", "rate_pct")], "model string, col string")).distinct()
+    roots = _columns(spark, sf_dir, STAMPED)
+    return graph.column_reach(column_edges(spark, sf_dir), roots).select(F.col("dst_model").alias("model"), F.col("dst_col").alias("col")).union(roots).distinct()
 
 
-@query("lineage_consumers", f"{COLUMNS} select dst_model, dst_col, depth from cc where src_model = 'stg_entries' and src_col = 'amount_minor'")
+@query("lineage_consumers", f"{_walk(V, _roots(CHANGED))}, {_CC} select * from cc")
 def lineage_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.column_closure(column_edges(spark)).where("src_model = 'stg_entries' and src_col = 'amount_minor'").select("dst_model", "dst_col", "depth")
+    """Where the first column of each changed model ends up."""
+    return graph.column_reach(column_edges(spark, sf_dir), _columns(spark, sf_dir, CHANGED))
 
 
-@query("lineage_sources", f"{COLUMNS} select src_model, src_col, depth from cc where dst_model = 'fct_revenue_reported' and dst_col = 'revenue_cents'")
+@query("lineage_sources", f"{_walk(V, _roots(GOVERNED), True)}, {_CC} select dst_model as src_model, dst_col as src_col, src_model as dst_model, src_col as dst_col, depth from cc")
 def lineage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.column_closure(column_edges(spark)).where("dst_model = 'fct_revenue_reported' and dst_col = 'revenue_cents'").select("src_model", "src_col", "depth")
+    """What the first column of each governed model is made of."""
+    back = column_edges(spark, sf_dir).select(F.col("dst_model").alias("src_model"), F.col("dst_col").alias("src_col"), F.col("src_model").alias("dst_model"), F.col("src_col").alias("dst_col"), "kind")
+    found = graph.column_reach(back, _columns(spark, sf_dir, GOVERNED))
+    return found.select(F.col("dst_model").alias("src_model"), F.col("dst_col").alias("src_col"), F.col("src_model").alias("dst_model"), F.col("src_col").alias("dst_col"), "depth")
 
 
-@query("lineage_consumer_models", f"{COLUMNS} select distinct dst_model as model from cc where src_model = 'stg_accounts' union select dst_model from ce where src_model = 'stg_accounts' and kind = 'reference'")
+@query("lineage_consumer_models", f"{_walk(V, _roots(CHANGED))}, {_CC} select distinct src_model as origin, dst_model as model from cc union select src_model, dst_model from {C} where kind = 'reference' and src_col = 'c0' and src_model in (select name from {_models(CHANGED)})")
 def lineage_consumer_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    direct = column_edges(spark)
-    by_value = graph.column_closure(direct).where("src_model = 'stg_accounts'").select(F.col("dst_model").alias("model"))
-    return by_value.union(direct.where("src_model = 'stg_accounts' and kind = 'reference'").select("dst_model")).distinct()
+    """Models that a changed column reaches by value, and those that refer to it."""
+    direct, roots = column_edges(spark, sf_dir), _columns(spark, sf_dir, CHANGED)
+    by_value = graph.column_reach(direct, roots).select(F.col("src_model").alias("origin"), F.col("dst_model").alias("model"))
+    own = direct.where("kind = 'reference' and src_col = 'c0'").join(roots.select(F.col("model").alias("src_model")), "src_model", "left_semi")
+    return by_value.union(own.select("src_model", "dst_model")).distinct()
 
 
-@query("lineage_referencing_only", f"{COLUMNS} select distinct src_model, src_col, dst_model from ce where kind = 'reference' and not exists (select 1 from cc where cc.src_model = ce.src_model and cc.src_col = ce.src_col and cc.dst_model = ce.dst_model)")
+@query("lineage_referencing_only", f"{_walk(V)}, {_CC} select distinct src_model, src_col, dst_model from {C} ce where kind = 'reference' and not exists (select 1 from cc where cc.src_model = ce.src_model and cc.src_col = ce.src_col and cc.dst_model = ce.dst_model)")
 def lineage_referencing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    direct, keys = column_edges(spark), ["src_model", "src_col", "dst_model"]
-    return direct.where("kind = 'reference'").select(*keys).distinct().join(graph.column_closure(direct).select(*keys), keys, "left_anti")
+    """Columns that a model refers to without any of its columns taking their value."""
+    direct, keys = column_edges(spark, sf_dir), ["src_model", "src_col", "dst_model"]
+    return direct.where("kind = 'reference'").select(*keys).distinct().join(graph.column_reach(direct).select(*keys), keys, "left_anti")
 
 
-@query("impact_narrow", f"{COLUMNS}, {_closure_sql(E).replace('e as', 'e2 as', 1).replace('walk', 'walk2').replace('from e ', 'from e2 ').replace('join e on', 'join e2 e on').replace('cl as', 'cl2 as')} select c.descendant as model, exists (select 1 from cc where src_model = 'stg_contracts' and src_col = 'recognition_method' and dst_model = c.descendant) as reached, exists (select 1 from ce where dst_model = c.descendant) as traced from cl2 c where c.ancestor = 'stg_contracts'")
+@query("impact_narrow", f"{_walk(E, _models(CHANGED))}, r as ({_walk(V, _roots(CHANGED))}, {_CC} select distinct src_model, dst_model from cc), t as (select distinct dst_model from {C} where kind = 'value') select cl.origin, cl.name as model, r.dst_model is not null as reached, t.dst_model is not null as traced from cl left join r on cl.origin = r.src_model and cl.name = r.dst_model left join t on cl.name = t.dst_model")
 def impact_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which models behind a change its column reaches; those without traced columns cannot be ruled out."""
-    columns = column_edges(spark)
-    behind = graph.closure(edges(spark)).where("ancestor = 'stg_contracts'").select(F.col("descendant").alias("model"))
-    reached = graph.column_closure(columns).where("src_model = 'stg_contracts' and src_col = 'recognition_method'").select(F.col("dst_model").alias("model"), F.lit(True).alias("reached")).distinct()
-    traced = columns.select(F.col("dst_model").alias("model"), F.lit(True).alias("traced")).distinct()
-    rows = behind.join(reached, "model", "left").join(traced, "model", "left")
-    return rows.select("model", F.coalesce("reached", F.lit(False)).alias("reached"), F.coalesce("traced", F.lit(False)).alias("traced"))
-
+    columns = column_edges(spark, sf_dir)
+    behind = graph.reach(edges(spark, sf_dir), models(spark, sf_dir, CHANGED)).select("origin", F.col("name").alias("model"))
+    reached = graph.column_reach(columns, _columns(spark, sf_dir, CHANGED)).select(F.col("src_model").alias("origin"), F.col("dst_model").alias("model"), F.lit(True).alias("reached")).distinct()
+    traced = columns.where("kind = 'value'").select(F.col("dst_model").alias("model"), F.lit(True).alias("traced")).distinct()
+    rows = behind.join(reached, ["origin", "model"], "left").join(traced, "model", "left")
+    return rows.select("origin", "model", F.coalesce("reached", F.lit(False)).alias("reached"), F.coalesce("traced", F.lit(False)).alias("traced"))
 
-_M = ", ".join(f"('{m}')" for m in MOVED)
 
-
-@query("attribute_to_root", f"{CLOSURE}, mv as (select * from (values {_M}) t(model)), roots as (select model from mv where not exists (select 1 from cl join mv o on cl.ancestor = o.model where cl.descendant = mv.model)) select mv.model, coalesce(min(case when cl.ancestor in (select model from roots) then cl.ancestor end), mv.model) as origin from mv left join cl on cl.descendant = mv.model group by mv.model")
+@query("attribute_to_root", f"{_walk(E, _models(MOVED))}, mv as (select name as model from {_models(MOVED)}), roots as (select model from mv where model not in (select name from cl)) select mv.model, coalesce(min(case when cl.origin in (select model from roots) then cl.origin end), mv.model) as origin from mv left join cl on cl.name = mv.model group by mv.model")
 def attribute_to_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The moved model upstream of each moved one that nothing moved above, the first by name."""
-    moved, pairs = _names(spark, MOVED, "model"), graph.closure(edges(spark))
-    explained = pairs.join(moved, F.col("ancestor") == F.col("model"), "left_semi").select(F.col("descendant").alias("model"))
-    roots = moved.join(explained, "model", "left_anti").select(F.col("model").alias("ancestor"))
-    origin = pairs.join(roots, "ancestor", "left_semi").groupBy(F.col("descendant").alias("model")).agg(F.min("ancestor").alias("origin"))
-    return moved.join(origin, "model", "left").select("model", F.coalesce("origin", "model").alias("origin"))
+    moved = models(spark, sf_dir, MOVED)
+    pairs = graph.reach(edges(spark, sf_dir), moved)
+    roots = moved.join(pairs.select("name"), "name", "left_anti").select(F.col("name").alias("origin"))
+    origin = pairs.join(roots, "origin", "left_semi").groupBy("name").agg(F.min("origin").alias("origin"))
+    return moved.join(origin, "name", "left").select(F.col("name").alias("model"), F.coalesce("origin", "name").alias("origin"))
+
+
+_WRITTEN = "(select 'm' || p_partkey as model, 'm' || (p_partkey - 1 - 12 * (p_size % 3)) as reads from part where p_partkey % 12 > 0)"
 
 
-@query("hidden_reads", f"select model, reads from {_values(WRITTEN_READS, 'model', 'reads')} where not exists (select 1 from {_values(EDGES, 'parent', 'child').replace(') t(', ') d(')} where d.parent = t.reads and d.child = t.model)")
+@query("hidden_reads", f"select model, reads from {_WRITTEN} w where not exists (select 1 from {E} e where e.parent = w.reads and e.child = w.model)")
 def hidden_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables that a model reads by name without a declared edge."""
-    written = spark.createDataFrame(WRITTEN_READS, "model string, reads string")
-    return written.join(edges(spark).select(F.col("parent").alias("reads"), F.col("child").alias("model")), ["model", "reads"], "left_anti")
+    """Tables that a model's text reads by name without a declared edge."""
+    k = F.col("p_partkey")
+    written = table(spark, sf_dir, "part").where("p_partkey % 12 > 0").select(_named("m", k).alias("model"), _named("m", k - 1 - 12 * (F.col("p_size") % 3)).alias("reads"))
+    return written.join(edges(spark, sf_dir).select(F.col("parent").alias("reads"), F.col("child").alias("model")), ["model", "reads"], "left_anti")

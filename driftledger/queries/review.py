@@ -63,19 +63,25 @@ def history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PRECEDENT = """select finding_id, precedent_id, cast(rank as integer) as rank from (select f.id as finding_id, p.id as precedent_id, row_number() over (partition by f.id order by p.model_name = f.model_name desc, p.created_at desc, p.id desc) as rank
-from (select * from findings where run_id = 40) f join (select * from (select *, row_number() over (partition by rule_id order by created_at desc, id desc) as newest from findings where disposition is not null and run_id <> 40) where newest <= 200) p on f.rule_id = p.rule_id) where rank <= 3"""
+from findings f join (select * from (select *, row_number() over (partition by rule_id order by created_at desc, id desc) as newest from findings where disposition is not null) where newest <= 200) p on f.rule_id = p.rule_id and f.run_id <> p.run_id) where rank <= 3"""
 
 
 @query("precedent_topk", store(_PRECEDENT))
 def precedent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three judged findings of the same rule for each of the newest run's: of its model first, newest first."""
+    """For each finding three of the 200 newest judged ones of its rule, from other runs: of its model first, newest first.
+
+    A rule's pool is one array of at most 200, so that a finding meets it without a row for each pair.
+    """
     findings = Store(spark, sf_dir).findings
     newest = F.row_number().over(Window.partitionBy("rule_id").orderBy(F.col("created_at").desc(), F.col("id").desc()))
-    judged = findings.where("disposition is not null and run_id <> 40").withColumn("newest", newest).where("newest <= 200")
-    judged = judged.select("rule_id", F.col("id").alias("precedent_id"), F.col("model_name").alias("p_model"), "created_at")
-    mine = findings.where("run_id = 40").select("rule_id", F.col("id").alias("finding_id"), "model_name")
-    order = Window.partitionBy("finding_id").orderBy((F.col("p_model") == F.col("model_name")).desc(), F.col("created_at").desc(), F.col("precedent_id").desc())
-    return mine.join(judged, "rule_id").withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("finding_id", "precedent_id", "rank")
+    judged = findings.where("disposition is not null").withColumn("newest", newest).where("newest <= 200")
+    pool = judged.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("newest", "id", "run_id", F.col("model_name").alias("model")))).alias("pool"))
+    rows = findings.select("rule_id", F.col("id").alias("finding_id"), "run_id", "model_name").join(pool, "rule_id")
+    others = F.filter("pool", lambda p: p["run_id"] != F.col("run_id"))
+    same = F.filter(others, lambda p: p["model"] == F.col("model_name"))
+    rest = F.filter(others, lambda p: p["model"] != F.col("model_name"))
+    best = F.slice(F.concat(F.slice(same, 1, 3), F.slice(rest, 1, 3)), 1, 3)
+    return rows.select("finding_id", F.posexplode(best).alias("at", "p")).select("finding_id", F.col("p.id").alias("precedent_id"), (F.col("at") + 1).alias("rank"))
 
 
 @query("latest_disposition", store("select finding_id, disposition, actor from (select *, row_number() over (partition by finding_id order by decided_at desc, id desc) as rn from decisions) where rn = 1"))
@@ -112,7 +118,7 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("known_models", store(f"select model_name as name from findings union select model_name from grains union select child from {EDGES_SQL}"))
 def known_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
-    return s.findings.select(F.col("model_name").alias("name")).union(s.grains.select("model_name")).union(edges(spark).select("child")).distinct()
+    return s.findings.select(F.col("model_name").alias("name")).union(s.grains.select("model_name")).union(edges(spark, sf_dir).select("child")).distinct()
 
 
 _VERDICT = f"case when count_if(severity in ('critical', 'high') and (disposition is null or disposition = 'deferred')) > 0 then 'blocking' when count_if(disposition is null) > 0 then 'review' else 'clear' end"
@@ -163,7 +169,7 @@ def daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
     f, r = s.findings.select(F.col("id").alias("finding_id"), "rule_id", "run_id"), s.runs.select(F.col("id").alias("run_id"), "project")
-    joined = s.decisions.join(f, "finding_id").join(F.broadcast(r), "run_id")  # forty runs
+    joined = s.decisions.join(f, "finding_id").join(r, "run_id")
     return joined.orderBy(F.col("at").desc(), F.col("id").desc()).limit(10).select("id", "disposition", "rule_id", "project")
 
 
@@ -201,7 +207,7 @@ def needs_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs with blocking findings that wait the longest."""
     s = Store(spark, sf_dir)
     runs = s.runs.where("status = 'succeeded'").select(F.col("id").alias("run_id"), F.col("created_at").alias("since"))
-    rows = s.findings.where(blocking()).join(F.broadcast(runs), "run_id").groupBy("run_id", "since").agg(n())
+    rows = s.findings.where(blocking()).join(runs, "run_id").groupBy("run_id", "since").agg(n())
     hours = F.timestamp_diff("HOUR", F.col("since"), F.lit(ops.NOW).cast("timestamp_ntz"))
     return rows.orderBy("since", "run_id").limit(6).select(F.col("run_id").alias("id"), "n", hours.alias("waiting_hours"))
 
@@ -223,23 +229,22 @@ def period_over_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(F.inline(F.array("d7", "d14")))
 
 
-@query("report_findings_flat", store("select rule_id, severity, count(*) as n, count(distinct model_name) as models, count_if(disposition is null) as open_findings from findings where run_id = 40 group by rule_id, severity"))
+@query("report_findings_flat", store("select run_id, rule_id, severity, count(*) as n, count(distinct model_name) as models, count_if(disposition is null) as open_findings from findings group by run_id, rule_id, severity"))
 def report_findings_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Store(spark, sf_dir).findings.where("run_id = 40")
-    return rows.groupBy("rule_id", "severity").agg(n(), F.count_distinct("model_name").alias("models"), F.count_if(F.col("disposition").isNull()).alias("open_findings"))
+    rows = Store(spark, sf_dir).findings
+    return rows.groupBy("run_id", "rule_id", "severity").agg(n(), F.count_distinct("model_name").alias("models"), F.count_if(F.col("disposition").isNull()).alias("open_findings"))
 
 
 _SEVERITY_RANK = "list_position(['critical','high','medium','low','info'], severity)"
 _CONFIDENCE_RANK = "list_position(['measured','proven','likely','possible'], confidence)"
 
 
-@query("report_rank", store(f"select id, cast(row_number() over (order by {_SEVERITY_RANK}, reach desc, {_CONFIDENCE_RANK}, id) as integer) as rank from findings where run_id = 40 order by rank limit 20"))
+@query("report_rank", store(f"select run_id, id, cast(row_number() over (partition by run_id order by {_SEVERITY_RANK}, reach desc, {_CONFIDENCE_RANK}, id) as integer) as rank from findings"))
 def report_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty of one run's report; they are cut before they are numbered."""
+    """The place of every finding in its run's report."""
     place = lambda values, c: F.array_position(F.array(*map(F.lit, values)), F.col(c))
     order = [place(ops.SEVERITIES, "severity"), F.col("reach").desc(), place(ops.CONFIDENCES, "confidence"), F.col("id")]
-    top = Store(spark, sf_dir).findings.where("run_id = 40").orderBy(*order).limit(20)
-    return top.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    return Store(spark, sf_dir).findings.select("run_id", "id", F.row_number().over(Window.partitionBy("run_id").orderBy(*order)).alias("rank"))
 
 
 @query("sarif_levels", store("select case when severity in ('critical', 'high') then 'error' when severity = 'medium' then 'warning' else 'note' end as level, count(*) as n, count_if(disposition = 'dismissed') as suppressed from findings group by 1"))
@@ -251,7 +256,7 @@ def sarif_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CALIBRATED = "case when severity = 'critical' and confidence <> 'measured' then 'high' else severity end"
 _SCORED = f"""scored as (select f.*, greatest(1.0, case s when 'critical' then 100.0 when 'high' then 60.0 when 'medium' then 30.0 when 'low' then 10.0 else 2.0 end * case confidence when 'measured' then 1.0 when 'proven' then 0.9 when 'likely' then 0.7 else 0.4 end
  + case when reach >= 20 then 16.0 when reach >= 5 then 13.0 when reach >= 1 then 8.0 else 0.0 end + case when model_name in ('m1', 'm2') then 25.0 else 0.0 end - case when judged >= 2 and rate >= 0.5 and confidence <> 'measured' then 45.0 * rate else 0.0 end) as score
- from (select f.*, {_CALIBRATED} as s, h.judged, h.rate from findings f join (select fingerprint, {_RATE} from findings group by fingerprint) h on f.fingerprint = h.fingerprint where run_id = 40) f)"""
+ from (select f.*, {_CALIBRATED} as s, h.judged, h.rate from findings f join (select fingerprint, {_RATE} from findings group by fingerprint) h on f.fingerprint = h.fingerprint) f)"""
 
 
 @query("triage_calibrated", store(f"select id, {_CALIBRATED} as severity from findings"))
@@ -261,7 +266,7 @@ def triage_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = Store(spark, sf_dir).findings
-    rows = findings.where("run_id = 40").join(_rates(findings, "fingerprint"), "fingerprint")
+    rows = findings.join(_rates(findings, "fingerprint"), "fingerprint")
     governed = F.col("model_name").isin("m1", "m2")
     severity = ops.calibrated(F.col("severity"), F.col("confidence"))
     return rows.withColumn("score", ops.score(severity, F.col("confidence"), F.col("reach"), governed, F.col("judged"), F.col("rate")))
@@ -272,20 +277,20 @@ def triage_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("id", F.round("score", 4).cast("decimal(10,4)").alias("score"))
 
 
-_COVER = "case rule_id when 'F2001' then (select min(o.rule_id) from scored o where o.model_name = s.model_name and o.rule_id in ('F4002','F5001','F5004','F5005','F8003','F9005','F9007')) when 'F1001' then (select min(o.rule_id) from scored o where o.model_name = s.model_name and o.rule_id in ('F8002','F9007')) end"
+_COVER = "case rule_id when 'F2001' then (select min(o.rule_id) from scored o where o.run_id = s.run_id and o.model_name = s.model_name and o.rule_id in ('F4002','F5001','F5004','F5005','F8003','F9005','F9007')) when 'F1001' then (select min(o.rule_id) from scored o where o.run_id = s.run_id and o.model_name = s.model_name and o.rule_id in ('F8002','F9007')) end"
 
 
-@query("triage_ranked", store(f"select * from (with {_SCORED}, covered as (select *, {_COVER} as covered_by from scored s) select id, rule_id, covered_by, cast(row_number() over (order by covered_by is not null, -score, rule_id, id) as integer) as rank from covered)"))
+@query("triage_ranked", store(f"select * from (with {_SCORED}, covered as (select *, {_COVER} as covered_by from scored s) select run_id, id, rule_id, covered_by, cast(row_number() over (partition by run_id order by covered_by is not null, -score, rule_id, id) as integer) as rank from covered)"))
 def triage_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run's findings, those that a more specific one on the same model covers at the end."""
+    """Every run's findings, those that a more specific one on the same model covers at the end."""
     rows = _scored(spark, sf_dir)
-    fired = rows.groupBy("model_name").agg(F.collect_set("rule_id").alias("fired"))  # at most one entry a rule
+    fired = rows.groupBy("run_id", "model_name").agg(F.collect_set("rule_id").alias("fired"))  # at most one entry a rule
     covered = F.lit(None).cast("string")
     for rule, by in ops.COVERED_BY.items():
         covered = F.when(F.col("rule_id") == rule, F.array_min(F.array_intersect("fired", F.array(*map(F.lit, by))))).otherwise(covered)
-    rows = rows.join(fired, "model_name").withColumn("covered_by", covered)
-    order = Window.orderBy(F.col("covered_by").isNotNull(), -F.col("score"), "rule_id", "id")  # one run's findings
-    return rows.select("id", "rule_id", "covered_by", F.row_number().over(order).alias("rank"))
+    rows = rows.join(fired, ["run_id", "model_name"]).withColumn("covered_by", covered)
+    order = Window.partitionBy("run_id").orderBy(F.col("covered_by").isNotNull(), -F.col("score"), "rule_id", "id")
+    return rows.select("run_id", "id", "rule_id", "covered_by", F.row_number().over(order).alias("rank"))
 
 
 # The mutation corpus as data: outcomes synthesised from parts.
