@@ -19,12 +19,13 @@ STRONG = (
     ("markers", r"(^|\n)\s*(<<<|>>>|```|#{2,}\s|\[\d+\]\s*(you|tool))"),
     ("transcript", r"\b(it returned|tool result|end of results|assistant:|user:)\b"),
 )
+#: Weaker signs, what must be named beside them, and characters that hide a sign.
 WEAK = (
     ("do_not_report", r"\b(do not|don't|never)\b[^.\n]{0,30}\b(report|flag|raise|warn|mention|analyse|analyze|review)\b"),
     ("verdict", r"\b(mark|report|treat|classify|consider|declare)\b[^.\n]{0,30}\b(as )?(safe|approved|benign|clean|no issues|not an issue|low risk)\b"),
 )
 AUTOMATION = r"\b(ai|a\.i\.|llm|language model|assistant|agent|bot|automated|automatic|reviewer|review tool|scanner|linter|copilot|chatgpt|claude|gpt)\b"
-INVISIBLE = "".join(map(chr, [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, 0xAD]))
+INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\ufeff\u00ad"
 
 
 def planted(text: Column) -> Column:
@@ -76,13 +77,24 @@ def grounded(quote: Column, text: Column) -> Column:
     together = F.contains(body, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
 
     def step(at: Column, word: Column) -> Column:
-        found = F.locate_in(body, F.concat(F.lit(" "), word, F.lit(" ")), at) if hasattr(F, "locate_in") else F.call_function("locate", F.concat(F.lit(" "), word, F.lit(" ")), body, at)
+        found = F.call_function("locate", F.concat(F.lit(" "), word, F.lit(" ")), body, at)
         return F.when((at > 0) & (found > 0), found + F.length(word) + 1).otherwise(0)
 
     ordered = F.aggregate(words, F.lit(1), step) > 0
     return (F.size(words) > 0) & F.when(F.size(words) <= 3, together).otherwise(ordered)
 
 
+def mask_invocation(text: Column, invocation_id: str | None, since: str | None = None, until: str | None = None) -> Column:
+    """Quoted literals that only say when or in which run a text was made become fixed ones: the run's id, and timestamps from ``since`` to ``until``."""
+    if invocation_id:
+        text = F.replace(text, F.lit(f"'{invocation_id}'"), F.lit("'<invocation>'"))
+    if since is None or until is None:
+        return text
+    stamps = F.array_distinct(F.regexp_extract_all(text, F.lit(r"'([0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.]{8,})'"), F.lit(1)))
+    inside = F.filter(stamps, lambda x: F.try_to_timestamp(x).between(F.lit(since).cast("timestamp"), F.lit(until).cast("timestamp")))
+    return F.aggregate(inside, text, lambda t, x: F.replace(t, F.concat(F.lit("'"), x, F.lit("'")), F.lit("'<started>'")))
+
+
 def is_measurement(name: str, data_type) -> bool:
     """Numbers under a monetary name, and all fractions, are measured and never a key."""
     if isinstance(data_type, StringType):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.money import cell_changed
-from .measure import IGNORED, MOST_ROWS, grain
+from .measure import IGNORED, grain
 
 
 class KeyedDiff:
@@ -72,15 +72,18 @@ class KeyedDiff:
         )
 
 
-def refusal(base: DataFrame, head: DataFrame, keys: list[str], most_rows: int = MOST_ROWS) -> DataFrame:
-    """(reason): why two tables are not paired, or null; refused in the order in which they are listed here."""
+def refusal(base: DataFrame, head: DataFrame, keys: list[str], most_rows: int | None = None) -> DataFrame:
+    """(reason): why two tables are not paired, or null; refused in the order in which they are listed here.
+
+    A budget of rows is the caller's wish; without one, tables of any size are paired.
+    """
     if not keys:
         return base.sparkSession.createDataFrame([("no key is known",)], "reason string")
     b, h = (grain(df, keys).select(*(F.col(c).alias(f"{p}_{c}") for c in ("row_count", "key_count", "null_key_rows"))) for df, p in ((base, "b"), (head, "h")))
     reason = (
         F.when(F.col("h_row_count") != F.col("h_key_count"), "key repeats in head")
         .when(F.col("b_row_count") != F.col("b_key_count"), "key repeats in base")
-        .when(F.greatest("b_row_count", "h_row_count") > most_rows, "over the row budget")
+        .when(F.lit(False) if most_rows is None else F.greatest("b_row_count", "h_row_count") > most_rows, "over the row budget")
         .when((F.col("b_null_key_rows") > 0) | (F.col("h_null_key_rows") > 0), "nulls in the key")
     )
     return b.crossJoin(h).select(reason.alias("reason"))  # one row a side

@@ -10,8 +10,6 @@ from pyspark.sql.types import NumericType, StructType
 
 from ..functions.money import total_moved
 
-#: Tables with more rows keep their row count and skip aggregates.
-MOST_ROWS = 5_000_000
 #: Columns that two builds of the same code write differently; never compared.
 IGNORED = (
     "_loaded_at", "loaded_at", "_etl_loaded_at", "_dbt_loaded_at", "dbt_updated_at", "dbt_valid_from", "dbt_valid_to",

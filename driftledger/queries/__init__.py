@@ -37,4 +37,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import dag, graph, history, keyed, measure, mutations, review, static, streams, text  # noqa: F401
+    from . import dag, graph, history, keyed, measure, mutations, project, review, static, streams, text  # noqa: F401

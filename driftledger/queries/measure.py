@@ -73,7 +73,15 @@ def grain_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("schema_diff", "select * from (values ('account_type', 'removed', 'string', null), ('amount_minor', 'retyped', 'bigint', 'decimal(38,6)'), ('segment', 'added', null, 'string')) t(\"column\", change, type_before, type_after)")
+_TYPES = "case column_type when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' when 'INTEGER' then 'int' else lower(column_type) end"
+
+
+def _schema(body: str) -> str:
+    return f"(select column_name as c, {_TYPES} as t from (describe {select(body)}))"
+
+
+@query("schema_diff", f"""with b as {_schema("select entry_id, amount_minor, account_type from stg_entries join stg_accounts using (account_id)")}, a as {_schema("select entry_id, cast(amount_minor as decimal(38,6)) as amount_minor, account_type as segment from stg_entries join stg_accounts using (account_id)")}
+select coalesce(b.c, a.c) as "column", case when b.c is null then 'added' when a.c is null then 'removed' else 'retyped' end as change, b.t as type_before, a.t as type_after from b full join a on b.c = a.c where b.t is distinct from a.t""")
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schemas of two revisions of a model; no row is read."""
     ledger_ = Ledger(spark, sf_dir)
@@ -82,10 +90,13 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.schema_diff(spark, base.schema, head.schema)
 
 
-@query("contract_check", "select * from (values ('entity_label', 'missing'), ('entity_ref', 'declared int, produced string')) t(\"column\", problem)")
+_DECLARED = (("entity_code", "string"), ("entity_ref", "int"), ("n_accounts", "bigint"), ("entity_label", "string"))
+
+
+@query("contract_check", f"""with d as (select * from (values {", ".join(map(str, _DECLARED))}) t(c, t)), p as {_schema("select entity_code, entity_ref, n_accounts from entity_reference")}
+select d.c as "column", case when p.c is null then 'missing' else 'declared ' || d.t || ', produced ' || p.t end as problem from d left join p on d.c = p.c where d.t is distinct from p.t""")
 def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = {"entity_code": "string", "entity_ref": "int", "n_accounts": "bigint", "entity_label": "string"}
-    return measure.contract_violations(spark, declared, Ledger(spark, sf_dir).entity_reference.schema)
+    return measure.contract_violations(spark, dict(_DECLARED), Ledger(spark, sf_dir).entity_reference.schema)
 
 
 @query("approx_vs_exact", "select count(distinct l_partkey) as exact_parts, true as within_five_percent from lineitem")
