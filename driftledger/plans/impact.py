@@ -68,7 +68,8 @@ def changed_outputs(spark: SparkSession, before: str, after: str) -> tuple[str,
 def named_columns(spark: SparkSession, text: str) -> set[tuple[str, str]]:
     """(relation, column) that the text writes out by name; columns that only a star brings in are not among them."""
     written = {c.seq(e.nameParts())[-1].lower() for n in c.nodes(c.parsed(spark, text)) for x in c.expressions(n) for e in c.below(x) if c.kind(e) == "UnresolvedAttribute"}
-    plan, owner = c.analysed(spark.sql(text)), {}
+    plan, owner, through = c.analysed(spark.sql(text)), {}, {}
+    defined = {n.id(): n for n in c.nodes(plan) if c.kind(n) == "CTERelationDef"}
 
     def own(node: Any, name: str) -> None:
         if c.kind(node) == "SubqueryAlias":
@@ -76,13 +77,21 @@ def named_columns(spark: SparkSession, text: str) -> set[tuple[str, str]]:
         children = c.seq(node.children())
         for child in children:
             own(child, name)
-        if not children or c.kind(node) == "View":
-            owner.update({a.exprId().id(): (name, a.name()) for a in c.seq(node.output())})
+        if c.kind(node) == "CTERelationRef":  # its columns are those of the expression that it names
+            pairs = zip(c.seq(node.output()), c.seq(defined[node.cteId()].child().output()), strict=True)
+            through.update({x.exprId().id(): y.exprId().id() for x, y in pairs if x.exprId().id() != y.exprId().id()})
+        elif name and (not children or c.kind(node) == "View"):
+            owner.update({x.exprId().id(): (name, x.name()) for x in c.seq(node.output())})
 
     for node in c.nodes(plan):
         own(node, "")
-    used = {e.exprId().id() for n in c.nodes(plan) for x in c.expressions(n) for e in c.below(x) if c.kind(e) == "AttributeReference"}
-    return {owner[i] for i in used if i in owner and owner[i][0] and owner[i][1].lower() in written}
+    found = set()
+    for i in {e.exprId().id() for n in c.nodes(plan) for x in c.expressions(n) for e in c.below(x) if c.kind(e) == "AttributeReference"}:
+        while i in through:
+            i = through[i]
+        if i in owner and owner[i][1].lower() in written:
+            found.add(owner[i])
+    return found
 
 
 def edit_script(spark: SparkSession, before: str, after: str) -> tuple[Counter, Counter]:

@@ -54,20 +54,18 @@ def plan_column_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, column string, source string")
 
 
-@query("plan_rules", "select * from (values " + ", ".join(f"('{r}', true, false)" for r in cases.SQL) + ") t(rule_id, on_defect, unchanged)")
+@query("plan_rules", "select * from (values " + ", ".join(f"('{r}', true, {str(r in cases.STANDING).lower()})" for r in sorted(cases.CASES)) + ") t(rule_id, on_defect, unchanged)")
 def plan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each rule on plans fires on its defect, and on a revision without a change; only plans are read."""
+    """Whether each of the rules fires on its defect, and on a revision without a change; only plans are read."""
     cases.views(spark)
     out = []
-    for rule_id, (before, after) in cases.SQL.items():
-        b, a = (rules.Revision(spark.sql(t), t) for t in (before, after))
-        x = rules.Context("model", cases.GRAINS, snapshots=cases.SNAPSHOTS)
-        fired = lambda p, q: any(f.rule_id == rule_id for f in rules.review(p, q, x)[0])
+    for rule_id, case in cases.CASES.items():
+        b, a = case.revisions(spark)
+        fired = lambda p, q: any(f.rule_id == rule_id for f in rules.review(p, q, case.known())[0])  # noqa: B023, E731
         out.append((rule_id, fired(b, a), fired(a, a)))
     return spark.createDataFrame(out, "rule_id string, on_defect boolean, unchanged boolean")
 
 
-
 #: Edits of the ledger, the model whose plan each touches, and the rules that should speak of it.
 CORPUS = (
     ("none", "revenue_recognized", ""), ("fx_any_period", "entries_converted", "F1001"), ("contract_inner", "revenue_recognized", "F1002"), ("with_intercompany", "revenue_recognized", "F2001"),
