@@ -36,37 +36,40 @@ def first_snapshot(source: DataFrame, config: HistoryConfig, at: Column) -> Data
 
 
 def snapshot(history: DataFrame, source: DataFrame, config: HistoryConfig, at: Column) -> DataFrame:
-    """The history after one more run: a full outer join of the current versions with the source, and a union.
+    """The history after one more run: one full outer join of all versions with the source, which only open ones can meet.
 
-    The source must hold each key once. Closed versions pass through untouched.
+    The source must hold each key once. Every joined row gives the versions that follow from it, so that both sides are
+    read once a run however many runs are chained. Closed versions pass through untouched.
     """
     columns, key = list(source.columns), list(config.key)
-    current, closed = history.where("valid_to is null and not is_deleted"), history.where("valid_to is not null or is_deleted")
-    new = source.select(*(F.col(c).alias(f"n_{c}") for c in columns))
-    joined = current.join(new, [F.col(k) == F.col(f"n_{k}") for k in key], "full_outer")
-    there, gone = F.col(f"n_{key[0]}").isNotNull(), F.col(f"n_{key[0]}").isNull()
-    known = F.col("valid_from").isNotNull()
+    open_ = F.col("valid_to").isNull() & ~F.col("is_deleted")
+    old = history.select(*columns, "valid_from", "valid_to", "scd_id", "is_deleted", open_.alias("is_open"))
+    new = source.select(*(F.col(c).alias(f"n_{c}") for c in columns), F.lit(True).alias("n_open"))
+    joined = old.join(new, [*(F.col(k) == F.col(f"n_{k}") for k in key), F.col("is_open") == F.col("n_open")], "full_outer")
+    known, there = F.col("is_open").isNotNull(), F.col("n_open").isNotNull()
     if config.strategy == "timestamp":
         changed, stamp = F.col(f"n_{config.updated_at}") > F.col(config.updated_at), F.col(f"n_{config.updated_at}")
     else:
         checked = [c for c in (config.checked or tuple(columns)) if c not in key]
         changed, stamp = ~F.struct(*checked).eqNullSafe(F.struct(*(F.col(f"n_{c}").alias(c) for c in checked))), at
     moves = there & known & F.coalesce(changed, F.lit(False))
-    ends = gone & known & F.lit(config.deletes != "ignore")
-    versions = [
-        # what was current, closed where it changed or went away
-        joined.where(known).select(*columns, "valid_from", F.when(moves, stamp).when(ends, at).alias("valid_to"), "scd_id", "is_deleted"),
+    ends = known & F.col("is_open") & ~there & F.lit(config.deletes != "ignore")
+    until = history.schema["valid_to"].dataType
+
+    def version(prefix: str, since: Column, to: Column, id_: Column, deleted: Column) -> Column:
+        fields = [F.col(f"{prefix}{c}").alias(c) for c in columns]
+        return F.struct(*fields, since.cast(until).alias("valid_from"), to.cast(until).alias("valid_to"), id_.alias("scd_id"), deleted.alias("is_deleted"))
+
+    never = F.lit(None)
+    made = [
+        # what was there, closed where it changed or went away
+        F.when(known, version("", F.col("valid_from"), F.when(moves, stamp).when(ends, at).otherwise(F.col("valid_to")), F.col("scd_id"), F.col("is_deleted"))),
         # new keys and new versions
-        joined.where(there & (~known | moves)).select(*(F.col(f"n_{c}").alias(c) for c in columns), (stamp if config.strategy == "check" else F.col(f"n_{config.updated_at}")).alias("valid_from"), F.lit(None).cast(history.schema["valid_to"].dataType).alias("valid_to")),
+        F.when(there & (~known | moves), version("n_", stamp, never, scd_id(tuple(f"n_{k}" for k in key), stamp), F.lit(False))),
     ]
-    versions[1] = versions[1].withColumn("scd_id", scd_id(config.key, F.col("valid_from"))).withColumn("is_deleted", F.lit(False))
     if config.deletes == "new_record":
-        deleted = joined.where(ends).select(*columns, at.alias("valid_from"), F.lit(None).cast(history.schema["valid_to"].dataType).alias("valid_to"))
-        versions.append(deleted.withColumn("scd_id", scd_id(config.key, F.col("valid_from"))).withColumn("is_deleted", F.lit(True)))
-    out = closed.select(*columns, "valid_from", "valid_to", "scd_id", "is_deleted")
-    for v in versions:
-        out = out.unionByName(v)
-    return out
+        made.append(F.when(ends, version("", at, never, scd_id(config.key, at), F.lit(True))))
+    return joined.select(F.explode(F.filter(F.array(*made), lambda v: v.isNotNull())).alias("v")).select("v.*")
 
 
 def current(history: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import minor_units, period, signed
@@ -50,9 +50,9 @@ class Ledger:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Lines without repeats of their key; the order of all other columns decides which stays."""
-        w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_COLUMNS[2:])
-        return self.source("lineitem").select(*LINE_COLUMNS).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+        """Lines without repeats of their key; the order of all other columns decides which stays, before the shuffle where it can."""
+        first = F.min(F.struct(*LINE_COLUMNS[2:])).alias("first")
+        return self.source("lineitem").groupBy(*LINE_COLUMNS[:2]).agg(first).select(*LINE_COLUMNS[:2], "first.*")
 
     @cached_property
     def stg_accounts(self) -> DataFrame:

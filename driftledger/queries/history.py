@@ -99,12 +99,13 @@ def scd2_current_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("segment").agg(F.count(F.lit(1)).alias("n_orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))
 
 
-_FACTS_SQL = "select event_id, event_id % 1500 + 1 as account_id, cast(ts as date) + 30 as on_day from events"
+_FACTS_SQL = "select event_id, event_id * 7 % (select max(c_custkey) from customer) + 1 as account_id, cast(ts as date) + 30 as on_day from events"
 
 
 @query("scd2_asof_join", f"with {_run_sql('check', 'invalidate')}, f as ({_FACTS_SQL}) select f.event_id, h.segment, h.valid_from from f join h2 h on f.account_id = h.account_id and h.valid_from <= f.on_day and (h.valid_to is null or f.on_day < h.valid_to)")
 def scd2_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1500 + 1).alias("account_id"), F.date_add(F.col("ts").cast("date"), 30).alias("on_day"))
+    most = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("most"))  # one row
+    facts = table(spark, sf_dir, "events").crossJoin(F.broadcast(most)).select("event_id", (F.col("event_id") * 7 % F.col("most") + 1).alias("account_id"), F.date_add(F.col("ts").cast("date"), 30).alias("on_day"))
     return scd.as_of(facts, run(spark, sf_dir, "check", "invalidate"), "account_id", "on_day").select("event_id", "segment", "valid_from")
 
 

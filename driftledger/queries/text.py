@@ -79,7 +79,7 @@ def convention_scope_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = table(spark, sf_dir, "events").select(F.concat(F.lit("m"), (F.col("user_id") % 12).cast("string")).alias("model")).distinct()
     rows = spark.createDataFrame(_SCOPES, "rule_id string, glob string, note string")
     pattern = F.concat(F.lit("^"), F.replace(F.replace(F.regexp_replace("glob", r"([.+()\[\]])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-    return models.join(F.broadcast(rows.withColumn("pattern", pattern)), F.expr("model rlike pattern")).select("model", "rule_id", "note")
+    return models.join(rows.withColumn("pattern", pattern), F.expr("model rlike pattern")).select("model", "rule_id", "note")
 
 
 _FRAGMENT = "doctype html head meta charset utf title style"
@@ -110,7 +110,7 @@ def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Tables and their columns that are not measured, in table order.
-SEEDS = {"supplier": ("s_suppkey", "s_name", "s_nationkey"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name"), "conversations": ("conv_id", "turn", "role")}
+SEEDS = {"supplier": ("s_suppkey", "s_name", "s_nationkey"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name"), "conversations": ("conv_id", "turn", "role", "text")}
 
 
 def _seed_sql(table_: str, columns: tuple[str, ...]) -> str:
@@ -124,6 +124,6 @@ def seed_key_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name in SEEDS:
         df = table(spark, sf_dir, name)
-        one = T.seed_keys(df.select("conv_id", "turn", "role") if name == "conversations" else df).select(F.lit(name).alias("table_name"), "key", "width")
+        one = T.seed_keys(df).select(F.lit(name).alias("table_name"), "key", "width")
         out = one if out is None else out.unionByName(one)
     return out
