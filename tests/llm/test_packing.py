@@ -113,3 +113,16 @@ def test_no_documents(empty, tokenizer):
     assert pack_documents(empty, tokenizer[0]).count() == 0
 
 
+
+
+def test_a_very_long_text_and_many_copies(spark, tokenizer):
+    path, encode = tokenizer
+    text = "A long text — d'accord, 中文 's. " * 30_000
+    rows = [(1, text)] + [(2, "copy of one text")] * 3000 + [(None, None)] * 50
+    found = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path).toPandas()
+    own, ids = found[found.doc_id == 1].sort_values("piece"), encode(text) + [0]
+    assert own.length.sum() == len(ids) and (own.length[1:] == 2048).all() and list(own.piece) == list(range(len(own)))
+    assert (found.doc_id == 2).sum() == 3000 and found.doc_id.isna().sum() == 50
+    placed = found.sort_values(["sequence_id", "offset"])
+    assert (placed.groupby("sequence_id").length.cumsum() - placed.length == placed.offset).all()
+    assert placed.sequence_id.nunique() == -(-placed.length.sum() // 2048)

@@ -89,3 +89,15 @@ def test_one_of_each_goes_by_texts_where_ids_are_missing_or_repeat(spark):
         kept = one_of_each(docs)
         found = sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr)
         assert kept.columns == docs.columns and found == sorted([(1, a), (1, b), (None, c), (2, d), (4, "")], key=repr)
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{k * 7919 % 100_003}" for k in range(200_000))
+    rows = [(1, text), (2, text.replace("w5 ", "x5 ")), (3, "short")]
+    found = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    w = text.split()
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + 3]), 42) for k in range(len(w) - 2)], np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(hashes))
+    assert found[1].fp % (1 << 64) == want and found[3].component_id == 3
+    kept = similar.one_of_each_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]

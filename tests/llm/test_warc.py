@@ -139,3 +139,13 @@ def test_repeated_payloads_dealt_by_digest_give_the_same(spark):
         warc.write_archives(pages, folder, most_bytes=most)
         found.append(sorted(((x.page_id, x.record_type, x.refers_to, x.payload_digest) for x in warc.read_archives(spark, folder).collect()), key=repr))
     assert found[0] == found[1]
+
+
+def test_a_very_long_page(spark):
+    html = "<p>\u4e2d long page</p>" * 200_000
+    pages = spark.createDataFrame([(1, "http://a", html), (2, "http://b", html), (3, "http://c", "x")], "page_id long, url string, html string")
+    folder = new_path(spark, "test-warc")
+    warc.write_archives(pages, folder)
+    found = {r.page_id: r for r in warc.read_archives(spark, folder).collect()}
+    raw = html.encode()
+    assert (found[1].payload_bytes, found[1].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest()) and found[2].refers_to == 1
