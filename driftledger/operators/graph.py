@@ -1,13 +1,17 @@
 """Graphs of models and of columns: what is reached from where, levels, and what follows from them.
 
-Walks go on, one step of all origins at a time, until a step finds nothing new: distinct pairs are kept, not paths, so that
-layered graphs do not multiply and cycles end. Each step is written to the checkpoint folder before the next one reads it.
+A graph of counted size, as a project's nearly always is, goes to the workers whole, and each walks from its share of the
+starts. Beyond that, walks go on one step of all origins at a time, each step written to the checkpoint folder. Either way
+they end when nothing new is found, and keep distinct pairs, not paths: layered graphs do not multiply, cycles end.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +27,46 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+#: Edges that are taken for few enough to be held by the driver and by every worker, about 10 MB.
+FEW_EDGES = 200_000
+
+
+def _held(edges: DataFrame, few: int) -> dict[str, list[str]] | None:
+    """Children of each parent, if there are few enough edges."""
+    rows = edges.limit(few + 1).collect()
+    if len(rows) > few:
+        return None
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in rows:
+        out[r.parent].append(r.child)
+    return dict(out)
+
+
+def _walks(children: dict[str, list[str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for origin in batch.column(0).to_pylist():
+                depth, step, n = {}, [origin], 0
+                while step:
+                    n += 1
+                    step = [c for c in dict.fromkeys(c for x in step for c in children.get(x, ())) if c not in depth]
+                    depth.update(dict.fromkeys(step, n))
+                if depth:
+                    yield pa.RecordBatch.from_arrays([pa.array([origin] * len(depth)), pa.array(list(depth)), pa.array(list(depth.values()), pa.int32())], ["origin", "name", "depth"])
+
+    return run
+
+
+def reach(edges: DataFrame, starts: DataFrame | None = None, few: int = FEW_EDGES) -> DataFrame:
     """(origin, name, depth): what each start (name) leads to by edges (parent, child), with the shortest distance.
 
     Without starts, from every node. A node on a cycle reaches itself.
     """
-    edges = settled(edges.select("parent", "child").distinct())
+    edges = edges.select("parent", "child").distinct()
+    if (children := _held(edges, few)) is not None:
+        names = (edges.select(F.col("parent").alias("name")) if starts is None else starts.select("name")).where("name is not null").distinct()
+        return names.mapInArrow(_walks(children), "origin string, name string, depth int")
+    edges = settled(edges)
     first = edges if starts is None else edges.join(starts.select(F.col("name").alias("parent")).distinct(), "parent", "left_semi")
     step = found = settled(first.select(F.col("parent").alias("origin"), F.col("child").alias("name"), F.lit(1).alias("depth")))
     while not step.isEmpty():
@@ -42,14 +80,34 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
 
 
-def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame | None = None, few: int = FEW_EDGES) -> DataFrame:
     """(ancestor, descendant, depth): every reachable pair, or those below the starts."""
-    return reach(edges, starts).select(F.col("origin").alias("ancestor"), F.col("name").alias("descendant"), "depth")
-
-
-def levels(edges: DataFrame) -> DataFrame:
+    return reach(edges, starts, few).select(F.col("origin").alias("ancestor"), F.col("name").alias("descendant"), "depth")
+
+
+def _levels(children: dict[str, list[str]]) -> dict[str, int | None]:
+    waiting: dict[str, int] = dict.fromkeys(children, 0)
+    for c in (c for own in children.values() for c in own):
+        waiting[c] = waiting.get(c, 0) + 1
+    out: dict[str, int | None] = dict.fromkeys(waiting)
+    ready, level = [x for x, n in waiting.items() if not n], 0
+    while ready:
+        out.update(dict.fromkeys(ready, level))
+        below = []
+        for c in (c for x in ready for c in children.get(x, ())):
+            waiting[c] -= 1
+            if not waiting[c]:
+                below.append(c)
+        ready, level = below, level + 1
+    return out
+
+
+def levels(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(name, level): the longest chain that leads to a node, zero for roots; null on and behind a cycle, which has none."""
-    left = settled(edges.select("parent", "child").distinct())
+    left = edges.select("parent", "child").distinct()
+    if (children := _held(left, few)) is not None:
+        return edges.sparkSession.createDataFrame(list(_levels(children).items()), "name string, level int")
+    left = settled(left)
     waiting = settled(left.select(F.col("parent").alias("name")).union(left.select("child")).distinct())
     placed, level = None, 0
     while True:
