@@ -17,7 +17,7 @@ def _folder(spark: SparkSession) -> str:
     """A fresh folder where all executors can write: the cluster's shared one, a temporary one in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="driftledger-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
