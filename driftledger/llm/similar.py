@@ -19,12 +19,16 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash import keep_one, links, majority, shingle_hashes, text_key
-from .storage import bounded_batches, drop_staged, staged
+from .storage import bounded_batches, drop_staged, shuffles_removed, staged
 
 SAMPLE, OFTEN, SHARED = 8000, 8, 8
 #: How many sets may share a shingle for all of its pairs to be looked at after the rounds of hubs, which end when one
 #: adds no more than this part of all links.
 FEW, MORE = 64, 0.05
+#: How many members of sets a check of pairs may deal out at once, at least; more where the corpus has more (_Search.room).
+LEAST_ROOM = 8 << 20
+#: Bytes of pairs or labels that may be broadcast, as counted.
+BROADCAST = 8 << 20
 
 
 def shingles(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
@@ -88,17 +92,21 @@ class _Search:
     def __init__(self, texts: DataFrame, size: int, percent: int):
         self.percent = percent
         rows = staged(texts.mapInArrow(_rows(size, _frequent(texts, size), percent), SCHEMA), "shingles")
-        self.rows = rows.drop("members")
+        self.rows = staged(rows.drop("members"), "rows")
+        # What is dealt out at once, in members: half of those of the corpus, so that disk is in proportion to it.
+        self.room = max(LEAST_ROOM, (self.rows.agg(F.sum("n")).first()[0] or 0) // 2)
         keys = self.rows.groupBy("set_id").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("fp").alias("fp"))
         # Only shingles of several sets count; copies of a set are no others, and fold while they are counted.
         each = rows.select(F.explode("members").alias("h"), "set_id")
         several = each.groupBy("h").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least <> most").select("h")
         met = staged(each.join(several, "h").distinct(), "met")
+        drop_staged(rows)
         enough = met.groupBy("set_id").agg(F.count(F.lit(1)).alias("met")).join(keys, "set_id").where(F.col("met") >= self.least(F.col("n")))
         self.sets = staged(enough.drop("met"), "possible")
         self.met = staged(met.join(self.sets.select("set_id", "n"), "set_id"), "met-possible")
-        whole = texts.join(self.sets.select("text_key"), "text_key", "left_semi").mapInArrow(_rows(size, None, 0), SCHEMA)
-        self.whole = staged(whole.select("set_id", "n", "members").dropDuplicates(["set_id"]), "sets")
+        # One text of each possible set: texts are dealt out once, copies folded first.
+        one = texts.groupBy("text_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).join(self.sets.select("text_key"), "text_key", "left_semi")
+        self.whole = staged(one.select("doc_id", "text_key", "text").mapInArrow(_rows(size, None, 0), SCHEMA).select("set_id", "n", "members"), "sets")
         drop_staged(met)
         self.found: list[DataFrame] = []
         self.n_links = 0
@@ -111,24 +119,29 @@ class _Search:
         return (F.col(a) * 100 >= F.col(b) * self.percent) & (F.col(b) * 100 >= F.col(a) * self.percent)
 
     def check(self, pairs: DataFrame) -> int:
-        """Keep those of the pairs (u, v) of set_ids whose whole sets reach the similarity; how many these are.
+        """Keep those of the pairs (u, v, members: of both) of set_ids whose whole sets reach the similarity; how many these are.
 
-        Pairs go to the sets where they are counted to be few, so that only sets of pairs are dealt out, and once.
+        Sets of pairs are dealt out in parts that fit the room, so that many pairs take more rounds and no more disk. Pairs
+        go to the sets where they are counted to be few, so that only sets of pairs are dealt out, and once.
         """
-        pairs = staged(pairs.select("u", "v").distinct(), "pairs")
-        if pairs.count() * 32 <= 8 << 20:
-            sides = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("set_id"))
-            met = self.whole.join(F.broadcast(sides), "set_id")
-            of = lambda side, c: F.first(F.when(F.col("set_id") == F.col(side), F.col(c)), ignorenulls=True)
-            both = met.groupBy("u", "v").agg(*(of(x, c).alias(f"{c[0]}_{x}") for x in "uv" for c in ("n", "members")))
-        else:
-            u, v = (self.whole.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("members").alias(f"m_{x}")) for x in "uv")
-            both = pairs.join(u, "u").join(v, "v")
-        both = both.withColumn("c", F.size(F.array_intersect("m_u", "m_v")))
-        found = staged(both.where((100 + self.percent) * F.col("c") >= self.percent * (F.col("n_u") + F.col("n_v"))).select("u", "v"), "links")
-        n = found.count()
+        pairs = staged(pairs.groupBy("u", "v").agg(F.first("members").alias("members")), "pairs")
+        n_pairs, members = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("members"), F.lit(0))).first()
+        parts, n = max(1, -(-members // self.room)), 0
+        for k in range(parts):
+            part = pairs.select("u", "v").where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k)
+            if n_pairs * 32 <= parts * BROADCAST:
+                sides = part.select("u", "v", F.explode(F.array("u", "v")).alias("set_id"))
+                met = self.whole.join(F.broadcast(sides), "set_id")
+                of = lambda side, c: F.first(F.when(F.col("set_id") == F.col(side), F.col(c)), ignorenulls=True)
+                both = met.groupBy("u", "v").agg(*(of(x, c).alias(f"{c[0]}_{x}") for x in "uv" for c in ("n", "members")))
+            else:
+                u, v = (self.whole.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("members").alias(f"m_{x}")) for x in "uv")
+                both = part.join(u, "u").join(v, "v")
+            both = both.withColumn("c", F.size(F.array_intersect("m_u", "m_v")))
+            found = staged(both.where((100 + self.percent) * F.col("c") >= self.percent * (F.col("n_u") + F.col("n_v"))).select("u", "v"), "links")
+            self.found.append(found)
+            n += found.count()
         drop_staged(pairs)
-        self.found.append(found)
         self.n_links += n
         return n
 
@@ -140,16 +153,16 @@ class _Search:
     def labelled(self, met: DataFrame) -> DataFrame:
         """The rare shingles of sets with their present component; labels are broadcast where they are counted to be few."""
         label = self.components()
-        if 2 * self.n_links * 16 <= 8 << 20:  # a link labels two sets at most
+        if 2 * self.n_links * 16 <= BROADCAST:  # a link labels two sets at most
             label = F.broadcast(label)
         return met.join(label, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
 
     def by_fingerprint(self) -> None:
         """Sets of one fingerprint, and of fingerprints that meet in a ball, with the smallest of them; a set that can have no partner is left out."""
-        of = self.sets.groupBy("fp").agg(F.min("set_id").alias("least"))
-        same = self.sets.join(of, "fp").where("set_id <> least").select(F.col("set_id").alias("u"), F.col("least").alias("v"))
-        near = links(of.select("fp"), 2).join(of.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
-        self.check(same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        of = self.sets.groupBy("fp").agg(F.min(F.struct("set_id", "n")).alias("least")).select("fp", "least.*")
+        same = self.sets.join(of.toDF("fp", "v", "n_v"), "fp").where("set_id <> v").select(F.col("set_id").alias("u"), "v", (F.col("n") + F.col("n_v")).alias("members"))
+        near = links(of.select("fp"), 2).toDF("fp_u", "fp_v").join(of.toDF("fp_u", "u", "n_u"), "fp_u").join(of.toDF("fp_v", "v", "n_v"), "fp_v")
+        self.check(same.unionByName(near.select("u", "v", (F.col("n_u") + F.col("n_v")).alias("members"))))
 
     def by_hub(self, wide: DataFrame, k: int) -> int:
         """For each widely held shingle, its sets with one of them, chosen anew each round, unless they are in one component."""
@@ -157,19 +170,26 @@ class _Search:
         hub = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("rank", "set_id", "n", "label")).alias("hub")).where("lo <> hi")
         hub = hub.select("h", F.col("hub.set_id").alias("v"), F.col("hub.n").alias("n_v"), F.col("hub.label").alias("label_v"))
         pairs = now.join(hub, "h").where((F.col("label") != F.col("label_v")) & self.alike("n", "n_v"))
-        pairs = pairs.groupBy(F.col("set_id").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "n_v")).alias("n"))
+        pairs = pairs.groupBy(F.col("set_id").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"), F.first(F.col("n") + F.col("n_v")).alias("members"), F.min(F.least("n", "n_v")).alias("n"))
         found = self.check(pairs.where(F.col("shared") >= self.least(F.col("n"))))
         drop_staged(now)
         return found
 
+    def parts(self, now: DataFrame, met: DataFrame) -> Iterator[DataFrame]:
+        """The rows by parts of the sets, so that of ``met``, a row with the number of times that two sets meet, a part fits the room."""
+        parts = max(1, -(-4 * int(met.first()[0] or 0) // self.room))  # a meeting takes about four members' bytes
+        for k in range(parts):
+            yield now.where(F.pmod(F.xxhash64("set_id", F.lit(parts)), F.lit(parts)) == k)
+
     def by_pairs(self, narrow: DataFrame, held: DataFrame) -> None:
         """All pairs of different components that share a shingle which few sets hold; ``held``: widely held ones of a set."""
         now = staged(self.labelled(narrow.join(held, "set_id", "left").withColumn("wide", F.coalesce("wide", F.lit(0)))), "apart")
         other = now.select("h", F.col("set_id").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"), F.col("wide").alias("wide_v"))
-        pairs = now.join(other, "h").where((F.col("label") < F.col("label_v")) & self.alike("n", "n_v"))
-        # What a pair shares among the widely held ones is not counted; it is at most what either has of these.
-        pairs = pairs.groupBy(F.col("set_id").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "n_v")).alias("n"), F.min(F.least("wide", "wide_v")).alias("wide"))
-        self.check(pairs.where(F.col("shared") + F.col("wide") >= self.least(F.col("n"))))
+        for part in self.parts(now, now.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).agg(F.sum(F.col("sets") * (F.col("sets") - 1) / 2))):
+            pairs = part.join(other, "h").where((F.col("label") < F.col("label_v")) & self.alike("n", "n_v"))
+            # What a pair shares among the widely held ones is not counted; it is at most what either has of these.
+            pairs = pairs.groupBy(F.col("set_id").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"), F.first(F.col("n") + F.col("n_v")).alias("members"), F.min(F.least("n", "n_v")).alias("n"), F.min(F.least("wide", "wide_v")).alias("wide"))
+            self.check(pairs.where(F.col("shared") + F.col("wide") >= self.least(F.col("n"))))
         drop_staged(now)
 
     def run(self) -> DataFrame:
@@ -201,8 +221,9 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    search = _Search(texts, size, percent)
-    label = search.run()
+    with shuffles_removed(docs.sparkSession):
+        search = _Search(texts, size, percent)
+        label = search.run()
     linked = search.rows.select("doc_id", "text_key", "set_id").join(label, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return linked.join(least, "label").select("doc_id", "text_key", "label", "component_id")
@@ -210,4 +231,6 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
 
 def one_of_each_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of one document of each component, as in simhash.one_of_each."""
-    return keep_one(docs, similar_documents(docs, size, percent))
+    found = similar_documents(docs, size, percent)
+    with shuffles_removed(docs.sparkSession):
+        return keep_one(docs, found)

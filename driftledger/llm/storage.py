@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +40,21 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
     return spark
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it ends, not when the driver happens to collect garbage.
+
+    What staged() writes is read from its files, so that no later query reads those shuffles. The setting is put back.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used before."""
     _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")

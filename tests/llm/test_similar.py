@@ -1,4 +1,5 @@
 import random
+import time
 
 import corpus_pipeline
 from driftledger.llm import similar
@@ -49,3 +50,42 @@ def test_stage_drops_a_copy_with_few_edited_words(spark):
     rows.append((99, " ".join("v%d" % r.randrange(9000) for _ in range(400))))
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(x.doc_id for x in kept.collect()) == [1, 99]
+
+
+def edited(seed, groups, most, words=60):
+    """Texts in groups of some, of which each has a few other words than the one before."""
+    r, rows = random.Random(seed), []
+    for _ in range(groups):
+        text = ["w%d" % r.randrange(9000) for _ in range(words)]
+        for _ in range(r.randint(2, most)):
+            text = list(text)
+            text[r.randrange(words)] = "w%d" % r.randrange(9000)
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+def test_many_pairs_are_checked_in_parts_and_without_broadcast(spark, monkeypatch):
+    rows, staged, made = edited(6, 12, 12), similar.staged, []
+    monkeypatch.setattr(similar, "LEAST_ROOM", 64)
+    monkeypatch.setattr(similar, "BROADCAST", 0)
+    monkeypatch.setattr(similar, "staged", lambda df, label: made.append(label) or staged(df, label))
+    found = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {x.doc_id: x.component_id for x in found.collect()} == brute_groups(rows)
+    assert made.count("links") > made.count("pairs") > 2
+
+
+def test_shuffle_files_of_finished_queries_are_removed(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    shuffles = lambda: {f.getName() for f in map(files().apply, range(files().length())) if f.getName().startswith("shuffle_")}
+    docs = spark.createDataFrame(edited(7, 5, 3), "doc_id long, text string").repartition(3)
+    held = shuffles()
+    similar.similar_documents(docs)
+    for _ in range(50):
+        if not (left := shuffles() - held):
+            break
+        time.sleep(0.2)
+    assert sum(name.endswith(".data") for name in left) == 0 and spark.conf.get(key) == "false"
+    spark.conf.set(key, before)
