@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -22,11 +22,13 @@ from .simhash import keep_one, links, majority, shingle_hashes, text_key
 from .storage import bounded_batches, drop_staged, shuffles_removed, staged
 
 SAMPLE, OFTEN, SHARED = 8000, 8, 8
-#: How many sets may share a shingle for all of its pairs to be looked at after the rounds of hubs, which end when one
-#: adds no more than this part of all links.
+#: Shingles that more sets hold are tried by rounds of hubs first, which end when one adds no more than this part of all
+#: links; pairs that these leave apart are then looked at.
 FEW, MORE = 64, 0.05
+#: How many sets of a widely held shingle go to a task together, when its remaining pairs are made.
+BLOCK = 1024
 #: How many members of sets a check of pairs may deal out at once, at least; more where the corpus has more (_Search.room).
-LEAST_ROOM = 8 << 20
+LEAST_ROOM = 32 << 20
 #: Bytes of pairs or labels that may be broadcast, as counted.
 BROADCAST = 8 << 20
 
@@ -192,17 +194,52 @@ class _Search:
             self.check(pairs.where(F.col("shared") + F.col("wide") >= self.least(F.col("n"))))
         drop_staged(now)
 
+    def by_rest(self, wide: DataFrame) -> None:
+        """All pairs still apart that share widely held shingles only: with by_pairs, no pair of the similarity is left out.
+
+        Such a pair shares as many as least() says of either's n. In one order of shingles, the widest held first, either
+        can leave out one less than that from the front and still shares one with the other; so the widest held meet least.
+        For each shingle left, the sets outside its largest component meet all others, in blocks, so that a task has
+        BLOCK squared meetings of a shingle at most, however many hold it.
+        """
+        rank = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("sets"), "h"))
+        few = staged(wide.withColumn("rank", rank).where(F.col("rank") >= self.least(F.col("n"))).select("h", "set_id", "n"), "rest")
+        now = staged(self.labelled(few), "apart")
+        drop_staged(few)
+        each = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("sets"))
+        spread = each.groupBy("h").agg(F.sum("sets").alias("all"), F.max(F.struct("sets", "label")).alias("most")).where(F.col("all") > F.col("most.sets"))
+        spread = spread.select("h", F.col("most.label").alias("most"), F.col("all"), (F.col("all") - F.col("most.sets")).alias("others"))
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK)
+        spread = staged(spread.select("*", blocks("others").alias("blocks_u"), blocks("all").alias("blocks_v")), "spread")
+        block = lambda c: F.pmod(F.xxhash64("set_id", F.lit(c)), F.col(c))
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        held = now.join(spread, "h")
+        other = held.withColumn("block_v", block("blocks_v")).withColumn("block_u", every("blocks_u"))
+        other = other.select("h", "block_u", "block_v", F.col("set_id").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"))
+        for part in self.parts(now, spread.agg(F.sum(F.col("others") * F.col("all")))):
+            mine = part.join(spread, "h").where("label <> most").withColumn("block_u", block("blocks_u")).withColumn("block_v", every("blocks_v"))
+            pairs = mine.join(other, ["h", "block_u", "block_v"]).where((F.col("label") < F.col("label_v")) | ((F.col("label_v") == F.col("most")) & (F.col("label") != F.col("label_v"))))
+            pairs = pairs.where(self.alike("n", "n_v")).select(F.least("set_id", "v").alias("u"), F.greatest("set_id", "v").alias("v"), (F.col("n") + F.col("n_v")).alias("members"))
+            self.check(pairs)
+        drop_staged(now)
+        drop_staged(spread)
+
     def run(self) -> DataFrame:
-        """Links by fingerprints, then by hubs of widely held shingles, round after round, then by pairs of the others."""
+        """Links by fingerprints, then by hubs of widely held shingles, round after round, then by all pairs left apart.
+
+        The first two leave fewer pairs for the last, which alone would find every link between components.
+        """
         self.by_fingerprint()
         sizes = self.met.groupBy("h").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        wide = staged(self.met.join(sizes.where(F.col("sets") > FEW).select("h"), "h"), "wide")
+        wide = staged(self.met.join(sizes.where(F.col("sets") > FEW), "h"), "wide")
         narrow = self.met.join(sizes.where(F.col("sets") <= FEW).select("h"), "h")
-        k = 0
-        if not wide.isEmpty():
+        k, any_wide = 0, not wide.isEmpty()
+        if any_wide:
             while self.by_hub(wide, k) > MORE * self.n_links:
                 k += 1
         self.by_pairs(narrow, wide.groupBy("set_id").agg(F.count(F.lit(1)).alias("wide")))
+        if any_wide:
+            self.by_rest(wide)
         out = self.components()
         for used in (self.met, self.whole, self.sets, wide, *self.found):
             drop_staged(used)
@@ -212,12 +249,11 @@ class _Search:
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_key, label, component_id): component_id is the smallest doc_id that links of that similarity reach.
 
-    Links are sought in three ways, each checked on whole sets: between fingerprints at most two bits apart; between the
-    sets of each rare shingle that more than FEW hold and one of them, in rounds until one adds few links, which joins a
-    large group of near copies without a square of its size; and between all pairs left apart that share a rare shingle
-    of at most FEW sets. Only a pair whose rare common shingles are all held by more than FEW sets, and
-    that no hub joins, is missed; README has the measured recall. Null doc_ids count as no doc_id; texts without words
-    are copies of each other; repeated rows each have a row.
+    Every link counts. They are sought in three ways, each checked on whole sets: between fingerprints at most two bits
+    apart; between the sets of each rare shingle that more than FEW hold and one of them, in rounds until one adds few
+    links, which joins most of a large group of near copies without a square of its size; and between all pairs left
+    apart that share a rare shingle, however many hold it. Null doc_ids count as no doc_id; texts without words are copies
+    of each other; repeated rows each have a row.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")

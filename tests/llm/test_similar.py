@@ -89,3 +89,19 @@ def test_shuffle_files_of_finished_queries_are_removed(spark):
         time.sleep(0.2)
     assert sum(name.endswith(".data") for name in left) == 0 and spark.conf.get(key) == "false"
     spark.conf.set(key, before)
+
+
+def test_links_of_widely_held_shingles_that_no_hub_joins_are_found(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    template = ["w%d" % r.randrange(9000) for _ in range(60)]
+    for at in r.sample(range(5, 55), 30):  # each lacks one word of the template; those that lack neighbours are alike
+        rows.append((len(rows), " ".join([*template[:at], "x%d" % len(rows), *template[at + 1 :]])))
+    group = brute_groups(rows)
+    assert 1 < len(set(group.values())) < len(rows) // 2
+    monkeypatch.setattr(similar, "FEW", 1)
+    monkeypatch.setattr(similar, "MORE", 10)  # the rounds end after the first
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block, room in ((1024, similar.LEAST_ROOM), (4, 256)):
+        monkeypatch.setattr(similar, "BLOCK", block, raising=False)
+        monkeypatch.setattr(similar, "LEAST_ROOM", room)
+        assert {x.doc_id: x.component_id for x in similar.similar_documents(docs).collect()} == group
