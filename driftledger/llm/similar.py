@@ -5,6 +5,9 @@ pair of Jaccard similarity 0.8 differs in about ten of 64 bits, and no ball of t
 rest is found by rare shingles: of two sets of similarity t or more, the n - ceil(t n) + k first members in any common
 order have k in common, for every k up to ceil(t n). The order begins with shingles that a sample has not met often, so
 that passages in many documents join few of them; the sample decides what is fast, not what is found.
+
+Most pairs that meet at a shingle are not of the similarity. Before whole sets are dealt out, two short sketches are
+compared, whose bits bound from below in how many members the sets differ: no pair of the similarity fails that test.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ SAMPLE, OFTEN, SHARED = 8000, 8, 8
 #: links; pairs that these leave apart are then looked at.
 FEW, MORE = 64, 0.05
 #: How many sets of a widely held shingle go to a task together, when its remaining pairs are made.
-BLOCK = 1024
+BLOCK = 2048
+#: Longs of a sketch, and the shingles of a set that go along to tell whether two sets have met at another shingle.
+SKETCH, FIRST = 16, 8
 #: How many members of sets a check of pairs may deal out at once, at least; more where the corpus has more (_Search.room).
 LEAST_ROOM = 32 << 20
 #: Bytes of pairs or labels that may be broadcast, as counted.
@@ -38,13 +43,21 @@ def shingles(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(shingle_hashes(text, size, seed).view(np.int64))
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """SKETCH longs, each bit set if an odd number of members falls on it: sets differ in at least as many members as bits."""
+    bits = 64 * SKETCH
+    at = (members.view(np.uint64) >> np.uint64(32)) % np.uint64(bits)
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _lists(found: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
 
 
-def _rows(size: int, often: np.ndarray | None, percent: int):
-    """Rows of SCHEMA with all members, or with a list of frequent ones the first in the order."""
+def _rows(size: int, often: np.ndarray | None, percent: int, sketches: bool = False):
+    """Rows of SCHEMA with all members, or with a list of frequent ones the first in the order; sketches where asked for."""
     import xxhash
 
     by_hash = None if often is None else np.argsort(often)
@@ -70,13 +83,13 @@ def _rows(size: int, often: np.ndarray | None, percent: int):
                 sets = [np.unique(x.view(np.int64)) for x in every]
                 ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
                 members = sets if often is None else list(map(first, sets))
-                columns = [part.column(0), part.column(1), pa.array(ids), pa.array(np.array(list(map(len, sets)), np.int64)), pa.array(fp), _lists(members)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set_id", "n", "fp", "members"])
+                columns = [part.column(0), part.column(1), pa.array(ids), pa.array(np.array(list(map(len, sets)), np.int64)), pa.array(fp), _lists(members), _lists(list(map(sketch, sets)) if sketches else [sets[0][:0]] * len(sets))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set_id", "n", "fp", "members", "sketch"])
 
     return run
 
 
-SCHEMA = "doc_id long, text_key long, set_id long, n long, fp long, members array<long>"
+SCHEMA = "doc_id long, text_key long, set_id long, n long, fp long, members array<long>, sketch array<long>"
 
 
 def _frequent(texts: DataFrame, size: int) -> np.ndarray:
@@ -94,7 +107,7 @@ class _Search:
     def __init__(self, texts: DataFrame, size: int, percent: int):
         self.percent = percent
         rows = staged(texts.mapInArrow(_rows(size, _frequent(texts, size), percent), SCHEMA), "shingles")
-        self.rows = staged(rows.drop("members"), "rows")
+        self.rows = staged(rows.drop("members", "sketch"), "rows")
         # What is dealt out at once, in members: half of those of the corpus, so that disk is in proportion to it.
         self.room = max(LEAST_ROOM, (self.rows.agg(F.sum("n")).first()[0] or 0) // 2)
         keys = self.rows.groupBy("set_id").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("fp").alias("fp"))
@@ -108,7 +121,7 @@ class _Search:
         self.met = staged(met.join(self.sets.select("set_id", "n"), "set_id"), "met-possible")
         # One text of each possible set: texts are dealt out once, copies folded first.
         one = texts.groupBy("text_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).join(self.sets.select("text_key"), "text_key", "left_semi")
-        self.whole = staged(one.select("doc_id", "text_key", "text").mapInArrow(_rows(size, None, 0), SCHEMA).select("set_id", "n", "members"), "sets")
+        self.whole = staged(one.select("doc_id", "text_key", "text").mapInArrow(_rows(size, None, 0, True), SCHEMA).select("set_id", "n", "members", "sketch"), "sets")
         drop_staged(met)
         self.found: list[DataFrame] = []
         self.n_links = 0
@@ -120,26 +133,38 @@ class _Search:
     def alike(self, a: str, b: str) -> Column:
         return (F.col(a) * 100 >= F.col(b) * self.percent) & (F.col(b) * 100 >= F.col(a) * self.percent)
 
-    def check(self, pairs: DataFrame) -> int:
+    def may_link(self, a: str, b: str, n_a: str, n_b: str) -> Column:
+        """Whether sets of these sketches can be of the similarity; (100 - percent) / (100 + percent) of their members may differ."""
+        differ = functools.reduce(Column.__add__, (F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH)))
+        return differ * (100 + self.percent) <= (F.col(n_a) + F.col(n_b)) * (100 - self.percent)
+
+    def both(self, pairs: DataFrame, few: bool, column: str) -> DataFrame:
+        """The pairs with n and a column of both sets. Few pairs go to the sets, so that only sets of pairs are dealt out, and once."""
+        if few:
+            sides = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("set_id"))
+            met = self.whole.select("set_id", "n", column).join(F.broadcast(sides), "set_id")
+            of = lambda side, c: F.first(F.when(F.col("set_id") == F.col(side), F.col(c)), ignorenulls=True)
+            return met.groupBy("u", "v").agg(*(of(x, c).alias(f"{c[0]}_{x}") for x in "uv" for c in ("n", column)))
+        u, v = (self.whole.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"{column[0]}_{x}")) for x in "uv")
+        return pairs.join(u, "u").join(v, "v")
+
+    def check(self, pairs: DataFrame, sketched: bool = False) -> int:
         """Keep those of the pairs (u, v, members: of both) of set_ids whose whole sets reach the similarity; how many these are.
 
-        Sets of pairs are dealt out in parts that fit the room, so that many pairs take more rounds and no more disk. Pairs
-        go to the sets where they are counted to be few, so that only sets of pairs are dealt out, and once.
+        Sketches are compared first, unless they were. Sets of the pairs left are dealt out in parts that fit the room, so
+        that many pairs take more rounds and no more disk.
         """
         pairs = staged(pairs.groupBy("u", "v").agg(F.first("members").alias("members")), "pairs")
+        if not sketched:
+            every = pairs
+            near = self.both(every, every.count() * 32 <= BROADCAST, "sketch").where(self.may_link("s_u", "s_v", "n_u", "n_v"))
+            pairs = staged(near.select("u", "v", (F.col("n_u") + F.col("n_v")).alias("members")), "near")
+            drop_staged(every)
         n_pairs, members = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("members"), F.lit(0))).first()
         parts, n = max(1, -(-members // self.room)), 0
         for k in range(parts):
             part = pairs.select("u", "v").where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == k)
-            if n_pairs * 32 <= parts * BROADCAST:
-                sides = part.select("u", "v", F.explode(F.array("u", "v")).alias("set_id"))
-                met = self.whole.join(F.broadcast(sides), "set_id")
-                of = lambda side, c: F.first(F.when(F.col("set_id") == F.col(side), F.col(c)), ignorenulls=True)
-                both = met.groupBy("u", "v").agg(*(of(x, c).alias(f"{c[0]}_{x}") for x in "uv" for c in ("n", "members")))
-            else:
-                u, v = (self.whole.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("members").alias(f"m_{x}")) for x in "uv")
-                both = part.join(u, "u").join(v, "v")
-            both = both.withColumn("c", F.size(F.array_intersect("m_u", "m_v")))
+            both = self.both(part, n_pairs * 32 <= parts * BROADCAST, "members").withColumn("c", F.size(F.array_intersect("m_u", "m_v")))
             found = staged(both.where((100 + self.percent) * F.col("c") >= self.percent * (F.col("n_u") + F.col("n_v"))).select("u", "v"), "links")
             self.found.append(found)
             n += found.count()
@@ -200,11 +225,16 @@ class _Search:
         Such a pair shares as many as least() says of either's n. In one order of shingles, the widest held first, either
         can leave out one less than that from the front and still shares one with the other; so the widest held meet least.
         For each shingle left, the sets outside its largest component meet all others, in blocks, so that a task has
-        BLOCK squared meetings of a shingle at most, however many hold it.
+        BLOCK squared meetings of a shingle at most, however many hold it. Sketches are compared where sets meet, and a
+        pair leaves its first meeting only, as far as the FIRST shingles of both tell, so that what is made follows the
+        pairs that are nearly of the similarity; comparisons in memory still grow with the square of such a group.
         """
         rank = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("sets"), "h"))
         few = staged(wide.withColumn("rank", rank).where(F.col("rank") >= self.least(F.col("n"))).select("h", "set_id", "n"), "rest")
         now = staged(self.labelled(few), "apart")
+        order = F.row_number().over(Window.partitionBy("set_id").orderBy("h"))
+        first = few.withColumn("order", order).where(F.col("order") <= FIRST).groupBy("set_id").agg(F.collect_list("h").alias("first"))
+        known = staged(self.whole.select("set_id", "sketch").join(first, "set_id"), "sketches")
         drop_staged(few)
         each = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("sets"))
         spread = each.groupBy("h").agg(F.sum("sets").alias("all"), F.max(F.struct("sets", "label")).alias("most")).where(F.col("all") > F.col("most.sets"))
@@ -213,14 +243,16 @@ class _Search:
         spread = staged(spread.select("*", blocks("others").alias("blocks_u"), blocks("all").alias("blocks_v")), "spread")
         block = lambda c: F.pmod(F.xxhash64("set_id", F.lit(c)), F.col(c))
         every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-        held = now.join(spread, "h")
+        held = now.join(spread, "h").join(known, "set_id")
         other = held.withColumn("block_v", block("blocks_v")).withColumn("block_u", every("blocks_u"))
-        other = other.select("h", "block_u", "block_v", F.col("set_id").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"))
-        for part in self.parts(now, spread.agg(F.sum(F.col("others") * F.col("all")))):
-            mine = part.join(spread, "h").where("label <> most").withColumn("block_u", block("blocks_u")).withColumn("block_v", every("blocks_v"))
-            pairs = mine.join(other, ["h", "block_u", "block_v"]).where((F.col("label") < F.col("label_v")) | ((F.col("label_v") == F.col("most")) & (F.col("label") != F.col("label_v"))))
-            pairs = pairs.where(self.alike("n", "n_v")).select(F.least("set_id", "v").alias("u"), F.greatest("set_id", "v").alias("v"), (F.col("n") + F.col("n_v")).alias("members"))
-            self.check(pairs)
+        other = other.select("h", "block_u", "block_v", F.col("set_id").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v"), F.col("sketch").alias("sketch_v"), F.col("first").alias("first_v"))
+        apart = (F.col("label") < F.col("label_v")) | ((F.col("label_v") == F.col("most")) & (F.col("label") != F.col("label_v")))
+        before = F.array_min(F.array_intersect("first", "first_v")) < F.col("h")
+        for part in self.parts(held, spread.agg(F.sum(F.col("others") * F.col("all")))):
+            mine = part.where("label <> most").withColumn("block_u", block("blocks_u")).withColumn("block_v", every("blocks_v"))
+            pairs = mine.join(other, ["h", "block_u", "block_v"]).where(apart & self.alike("n", "n_v") & self.may_link("sketch", "sketch_v", "n", "n_v") & ~F.coalesce(before, F.lit(False)))
+            self.check(pairs.select(F.least("set_id", "v").alias("u"), F.greatest("set_id", "v").alias("v"), (F.col("n") + F.col("n_v")).alias("members")), sketched=True)
+        drop_staged(known)
         drop_staged(now)
         drop_staged(spread)
 

@@ -1,6 +1,8 @@
 import random
 import time
 
+import numpy as np
+
 import corpus_pipeline
 from driftledger.llm import similar
 
@@ -105,3 +107,32 @@ def test_links_of_widely_held_shingles_that_no_hub_joins_are_found(spark, monkey
         monkeypatch.setattr(similar, "BLOCK", block, raising=False)
         monkeypatch.setattr(similar, "LEAST_ROOM", room)
         assert {x.doc_id: x.component_id for x in similar.similar_documents(docs).collect()} == group
+
+
+def test_sets_that_are_nearly_alike_are_told_apart_where_they_meet(spark, monkeypatch):
+    r, rows, staged, made = random.Random(9), [], similar.staged, []
+    template = ["w%d" % r.randrange(9000) for _ in range(200)]
+    for k in range(150):
+        text = list(template)
+        for at in r.sample(range(5, 195), 1 + k % 5):
+            text[at] = "x%dy%d" % (k, at)
+        rows.append((k, " ".join(text)))
+    monkeypatch.setattr(similar, "staged", lambda df, label: (out := staged(df, label), made.append((label, out.count())))[0])
+    monkeypatch.setattr(similar, "MORE", 10)  # the rounds end after the first
+    found = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    group = brute_groups(rows)
+    assert {x.doc_id: x.component_id for x in found.collect()} == group and len(set(group.values())) > 20
+    # Of 11175 pairs the last search made 8690, and 964 since sketches are compared, of which 822 are links.
+    pairs, links = ([n for label, n in made if label == kind][-1] for kind in ("pairs", "links"))
+    assert pairs < 2 * links
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_members():
+    r = np.random.default_rng(10)
+    for n in (0, 1, 5, 40, 400, 5000):
+        for differ in (0, 1, 3, 50):
+            a = r.integers(-(1 << 63), (1 << 63) - 1, n)
+            b = np.concatenate([a[differ:], r.integers(-(1 << 63), (1 << 63) - 1, differ)])
+            bits = np.unpackbits((similar.sketch(a) ^ similar.sketch(b)).view(np.uint8)).sum()
+            assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (bits > 0 or not differ or n == 5000)
+            assert len(similar.sketch(a)) == similar.SKETCH
