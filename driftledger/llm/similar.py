@@ -192,8 +192,12 @@ class _Search:
         self.check(same.unionByName(near.select("u", "v", (F.col("n_u") + F.col("n_v")).alias("members"))))
 
     def by_hub(self, wide: DataFrame, k: int) -> int:
-        """For each widely held shingle, its sets with one of them, chosen anew each round, unless they are in one component."""
-        now = staged(self.labelled(wide).withColumn("rank", F.xxhash64("set_id", F.lit(k))), "labelled")
+        """For each widely held shingle, its sets with one of them, chosen anew each round, unless they are in one component.
+
+        Every other round that is one of the sets with the most such shingles: of a group of near copies those least edited.
+        """
+        held = F.count(F.lit(1)).over(Window.partitionBy("set_id")) if k % 2 == 0 else F.lit(0)
+        now = staged(self.labelled(wide).withColumn("rank", F.struct((-held).alias("held"), F.xxhash64("set_id", F.lit(k)).alias("hash"))), "labelled")
         hub = now.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("rank", "set_id", "n", "label")).alias("hub")).where("lo <> hi")
         hub = hub.select("h", F.col("hub.set_id").alias("v"), F.col("hub.n").alias("n_v"), F.col("hub.label").alias("label_v"))
         pairs = now.join(hub, "h").where((F.col("label") != F.col("label_v")) & self.alike("n", "n_v"))
@@ -267,7 +271,7 @@ class _Search:
         narrow = self.met.join(sizes.where(F.col("sets") <= FEW).select("h"), "h")
         k, any_wide = 0, not wide.isEmpty()
         if any_wide:
-            while self.by_hub(wide, k) > MORE * self.n_links:
+            while self.by_hub(wide, k) > MORE * self.n_links or not k % 2:
                 k += 1
         self.by_pairs(narrow, wide.groupBy("set_id").agg(F.count(F.lit(1)).alias("wide")))
         if any_wide:
