@@ -2,7 +2,8 @@
 
 Lengths are whole numbers up to the capacity, so the whole instance is a count for each length, however many documents
 there are. The reduction and the packing work on these counts; documents then take the places by their rank among those
-of their length.
+of their length. The task that cuts a document numbers its pieces by length as it goes, and what the tasks before it
+hold of each length makes ranks of these numbers, so that nothing is sorted or dealt out.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, staged
+from .storage import bounded_batches, new_path, open_filesystem, short_reads, staged, write_bytes
 from .tokens import encoder
 
-#: Turns are counted up to here; salts are what is left of a turn on division by their number.
-MOST_SALTS = 1 << 16
+#: The file that has, for each task, how many pieces of each length the tasks before it hold.
+BEFORE = "before.bin"
 #: A pattern is what a sequence holds: lengths, longest first, and how many sequences hold it.
 Pattern = tuple[tuple[int, ...], int]
 
@@ -141,11 +142,22 @@ def places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return {"key": (table[:, 0] << 44) + table[:, 1], "rank": table[:, 1], "first": table[:, 2], "offset": table[:, 3]}
 
 
+def _numbered(length: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The number of each piece among those of its length, from 0, where ``used`` have come before; counts them there."""
+    counts = np.bincount(length, minlength=len(used))
+    order = np.argsort(length, kind="stable")
+    row = np.empty(len(length), np.int64)
+    row[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+    row += used[length]
+    used += counts
+    return row
+
+
 def _piece_rows(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, 500_000)  # leaves room for what other stages keep in a worker
         end, width = np.array([end_id], e.dtype).tobytes(), e.dtype.itemsize
-        turn = TaskContext.get().partitionId() * 7919  # tasks begin their turns at different salts
+        task, used = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -164,47 +176,87 @@ def _piece_rows(path: str, end_id: int, capacity: int, with_ids: bool):
                 if with_ids:
                     columns.append(pa.array(out["ids"], pa.binary()))
                     names.append("ids")
-                columns.append(pa.array((turn + np.arange(len(out["piece"]))) % MOST_SALTS, pa.int64()))
-                names.append("turn")
-                turn += len(out["piece"])
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns += [pa.array(np.full(len(out["piece"]), task), pa.int32()), pa.array(_numbered(np.array(out["length"], np.int64), used))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "task", "row"])
 
     return run
 
 
-def _place_rows(table: dict[str, np.ndarray], before: np.ndarray):
+def _count_rows(capacity: int):
+    """(task, counts) of (task, length): packed counts of each length; a task may have several rows, which add up."""
+
+    def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in held.values()], pa.binary())], ["task", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(capacity + 1, "<i8"))
         for batch in batches:
-            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            length, salt, row = (column[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "salt", "row"))
-            rank = before[length, salt] + row - 1
-            at = np.searchsorted(table["key"], (length << 44) + rank, side="right") - 1
-            column |= {"sequence_id": pa.array(table["first"][at] + rank - table["rank"][at]), "offset": pa.array(table["offset"][at])}
-            names = [k for k in column if k not in ("salt", "row")]
-            yield pa.RecordBatch.from_arrays([column[k] for k in names], names)
+            task, length = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for t in np.unique(task).tolist():
+                held[t] += np.bincount(length[task == t], minlength=capacity + 1)
+            if len(held) >= 256:
+                yield packed(held)
+                held.clear()
+        yield packed(held)
+
+    return run
+
+
+def _before(counts: dict[int, list[bytes]], capacity: int) -> Iterator[bytes]:
+    """For each task in rising order, how many pieces of each length the tasks before it hold."""
+    so_far = np.zeros(capacity + 1, "<i8")
+    for task in sorted(counts):
+        yield so_far.tobytes()
+        for c in counts[task]:
+            so_far += np.frombuffer(zlib.decompress(c), "<i8")
+
+
+def _place_rows(table: dict[str, np.ndarray], folder: str, tasks: np.ndarray, capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, path = open_filesystem(folder)
+        width, known = 8 * (capacity + 1), {}
+        with filesystem.open_input_file(f"{path}/{BEFORE}") as f:
+
+            def read(k: int) -> np.ndarray:
+                f.seek(k * width)
+                return np.frombuffer(f.read(width), "<i8")
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+                length, task, row = (column[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "task", "row"))
+                own, which = np.unique(np.searchsorted(tasks, task), return_inverse=True)
+                known = {k: known[k] if k in known else read(k) for k in own.tolist()}
+                rank = np.stack(list(known.values()))[which, length] + row
+                at = np.searchsorted(table["key"], (length << 44) + rank, side="right") - 1
+                column |= {"sequence_id": pa.array(table["first"][at] + rank - table["rank"][at]), "offset": pa.array(table["offset"][at])}
+                names = [k for k in column if k not in ("task", "row")]
+                yield pa.RecordBatch.from_arrays([column[k] for k in names], names)
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, rows_each: int = 1 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): a row for each piece of each document.
 
-    Documents over the capacity are cut into full pieces behind a shorter first one. Pieces of one length, which a third
-    of all may share, are split by salts that each task hands out in turn, so that copies and repeated rows spread too:
-    256 of them, or more so that one has at most about ``rows_each`` rows. The driver sees a count for each length and
-    salt. Null text: empty, which is the end id alone. Rows with one doc_id are packed each for itself; no documents give
-    no rows; extra columns are not read.
+    Documents over the capacity are cut into full pieces behind a shorter first one. Each task numbers its pieces of each
+    length, so that copies and repeated rows, whose pieces a third of all may be, stay where they are. The driver sees
+    packed counts of lengths for each task and writes what the tasks before each hold to the shared folder, 8 bytes a
+    length, of which a worker reads the tasks of a batch. Null text: empty, which is the end id alone. Rows with one
+    doc_id are packed each for itself; no documents give no rows; extra columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    spark = bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_piece_rows(tokenizer_path, end_id, capacity, with_ids), schema + ", turn long")
-    pieces = staged(rows, "pieces")
-    salts = min(MOST_SALTS, max(256, -(-pieces.count() // rows_each)))
-    pieces = pieces.withColumn("salt", (F.col("turn") % salts).cast("int")).drop("turn")
-    found = pieces.groupBy("length", "salt").count().toPandas()
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    counts[found["length"].to_numpy(np.int64), found["salt"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
-    table = places(plan(counts.sum(axis=1)))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("row", F.row_number().over(within))
-    return ranked.mapInArrow(_place_rows(table, np.cumsum(counts, axis=1) - counts), schema + ", sequence_id long, offset long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_piece_rows(tokenizer_path, end_id, capacity, with_ids), schema + ", task int, row long")
+    with short_reads(spark):  # else the texts of thousands of rows lie in an executor's heap at once
+        pieces = staged(rows, "pieces")
+    counts: dict[int, list[bytes]] = defaultdict(list)
+    for task, packed in pieces.select("task", "length").mapInArrow(_count_rows(capacity), "task int, counts binary").collect():
+        counts[task].append(bytes(packed))
+    total = np.zeros(capacity + 1, np.int64)
+    for packed in (c for held in counts.values() for c in held):
+        total += np.frombuffer(zlib.decompress(packed), "<i8")
+    folder = new_path(spark, "ranks")
+    write_bytes(folder, BEFORE, _before(counts, capacity))
+    return pieces.mapInArrow(_place_rows(places(plan(total)), folder, np.array(sorted(counts), np.int64), capacity), schema + ", sequence_id long, offset long")

@@ -40,6 +40,23 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
     return spark
 
 
+@contextmanager
+def short_reads(spark: SparkSession, rows: int = 128, most: int = 2 << 20) -> Iterator[None]:
+    """Within, Parquet files of whole texts are read ``rows`` at a time, not 4096, and ``most`` bytes go to a worker at once.
+
+    Only the size of batches depends on it, no result. Settings that are lower stay; all are put back.
+    """
+    rows_key, bytes_key = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in (rows_key, bytes_key)}
+    try:
+        spark.conf.set(rows_key, str(min(int(before[rows_key]), rows)))
+        bounded_batches(spark, most)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Within, the shuffle files of a query go when it ends, not when the driver happens to collect garbage.

@@ -6,7 +6,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from driftledger.llm.packing import best_fit, dominating_set, pack_documents, plan, reduce_instance
+from driftledger.llm import packing
+from driftledger.llm.packing import _numbered, best_fit, dominating_set, pack_documents, plan, reduce_instance
+from driftledger.llm.storage import bounded_batches
 
 
 def optimum(items: tuple[int, ...], capacity: int) -> int:
@@ -113,6 +115,31 @@ def test_no_documents(empty, tokenizer):
     assert pack_documents(empty, tokenizer[0]).count() == 0
 
 
+def test_numbers_go_on_where_the_last_part_ended():
+    used = np.zeros(6, np.int64)
+    assert _numbered(np.array([2, 5, 2, 2, 1]), used).tolist() == [0, 0, 1, 2, 0]
+    assert _numbered(np.array([5, 1, 2]), used).tolist() == [1, 1, 3] and used.tolist() == [0, 2, 4, 0, 0, 2]
+
+
+def test_executors_hold_no_sort_and_deal_nothing_out(spark, tokenizer):
+    rows = [(k, "one text" * (k % 3)) for k in range(900)]  # many tasks, some without rows, all with the same lengths
+    found = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(37, "doc_id"), tokenizer[0], 64)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Exchange", "Sort", "Window", "Aggregate") if x in plan]
+    found = found.toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(found.doc_id) == list(range(900))
+    assert (found.groupby("sequence_id").length.cumsum() - found.length == found.offset).all()
+    assert found.groupby("sequence_id").length.sum().max() <= 64 and found.sequence_id.nunique() == -(-found.length.sum() // 64)
+
+
+def test_texts_are_read_few_at_a_time(spark, docs, tokenizer, monkeypatch):
+    keys, seen = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"), []
+    stage = packing.staged
+    monkeypatch.setattr(packing, "staged", lambda *a: (seen.append([int(spark.conf.get(k)) for k in keys]), stage(*a))[1])
+    bounded_batches(spark)
+    before = [spark.conf.get(k) for k in keys]
+    pack_documents(docs, tokenizer[0])
+    assert seen[0][0] <= 128 and seen[0][1] <= 2 << 20 and [spark.conf.get(k) for k in keys] == before
 
 
 def test_a_very_long_text_and_many_copies(spark, tokenizer):
